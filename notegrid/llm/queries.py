@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notegrid.llm import cooccurrence, knn
+from notegrid.llm import bpe, canonical, cooccurrence, knn, lookalike, names, packing
 from notegrid.tables import table
 
 
@@ -21,7 +21,49 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence.above_chance(p3_pairs(spark, sf_dir), "4.7").select("field_name", "item_a", "item_b")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pairs": p3_pairs}
+def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.link_names(names.vault_names(table(spark, sf_dir, "knowledge_nodes"), table(spark, sf_dir, "knowledge_edges")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.spelling_pairs(p4_entities(spark, sf_dir))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, notes, lists = (table(spark, sf_dir, t) for t in ("knowledge_nodes", "notes", "canonical_values"))
+    return canonical.map_values(nodes, notes, lists).select("ref_table", "record_id", "field_name", "canon_id").distinct()
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text", "byte_bpe_50k")
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sizes = bpe.count_tokens(docs, "doc_id", "text", "byte_bpe_50k")
+    return packing.pack_items(sizes, "doc_id", "n_tokens", capacity=2_048, n_items=docs.count())
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.lookalike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.normalise_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_pairs": p3_pairs,
+    "p4_found": p4_found,
+    "p4_entities": p4_entities,
+    "p5_found": p5_found,
+    "p7_ids": p7_ids,
+    "p8_containers": p8_containers,
+    "p9_found": p9_found,
+    "p9_texts": p9_texts,
+}
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(8195) || chr(8201) || chr(8239) || chr(8199) || chr(12288)"
 
