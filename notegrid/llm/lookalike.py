@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notegrid.tables import cut_lineage
+
 #: Spellings in the trie: the most frequent ones of the corpus; the bound of what is broadcast.
 VOCABULARY = 65_536
 #: Longest spelling in the trie.
@@ -233,7 +235,8 @@ def lookalike_pairs(docs: DataFrame, id_col: str, text_col: str, limit: int = VO
     Classes of one text only, however many copies, are left out before pairs are
     formed. Null and blank texts, and those of ignorables alone, are in no pair.
     """
-    classes = lookalike_classes(docs, id_col, text_col, limit)
+    # three joins read the classes: four numbers a text, written once
+    classes = cut_lineage(lookalike_classes(docs, id_col, text_col, limit))
     mixed = classes.groupBy("class_hi", "class_lo").agg(F.min("text_hash").alias("x"), F.max("text_hash").alias("y")).where("x <> y")
     members = classes.join(mixed.select("class_hi", "class_lo"), ["class_hi", "class_lo"], "left_semi")
     a = members.withColumnsRenamed({"id": "doc_id_a", "text_hash": "x"})
