@@ -117,7 +117,8 @@ def pack_items(items: DataFrame, id_col: str, size_col: str, capacity: int, shar
         total = np.bincount(container, weights=pdf.part_size).astype(np.int64)
         return pdf.assign(container_id=(int(pdf.shard[0]) << 24) + container, container_size=total[container]).drop(columns="shard")
 
-    packed = rows.groupBy("shard").applyInPandas(
+    # by number: adaptive execution would put small rows that take long in one task
+    packed = rows.repartition(min(shards, 10_000), "shard").groupBy("shard").applyInPandas(
         fill, f"id {kind}, part int, part_start long, part_size long, container_id long, container_size long"
     )
     return packed.withColumnRenamed("id", id_col)
