@@ -86,8 +86,7 @@ def heavy_names(edges: DataFrame, share: float = 0.02, fan_in: int = 16) -> Data
     returned. An empty table gives no names.
     """
     counts = tree_aggregate(edge_ends(edges), ["side", "name"], {"edges": ("count", F.lit(1))}, fan_in)
-    # each side counts every row once, so one side's groups sum up to the number of rows
-    total = counts.where(F.col("side") == "source_name").agg(F.sum("edges").alias("n")).select("n").scalar()
+    total = edges.select().agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     return counts.where((F.col("name") != "") & (F.col("edges") >= F.lit(share) * total))
 
 
