@@ -112,6 +112,10 @@ def occurrences(text: Column, word: str) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / F.lit(len(word))
 
 
+def _contains(word: Column):
+    return lambda t: F.contains(F.lower(t), word)
+
+
 def keyword_score(name: Column, key: Column, body: Column, tags: Column, query: str) -> Column:
     """Sum over the query's words: in the name 3, being the name 5 more, in the key
     alone 1, in the text 0.5 each up to 3, and in each tag 2."""
@@ -123,7 +127,7 @@ def keyword_score(name: Column, key: Column, body: Column, tags: Column, query:
         total = total + F.when(F.contains(name, w), 3.0).when(F.contains(key, w), 1.0).otherwise(0.0)
         total = total + F.when(name == w, 5.0).otherwise(0.0)
         total = total + F.least(occurrences(body, word) * 0.5, F.lit(3.0))
-        total = total + F.size(F.filter(tags, lambda t, w=w: F.contains(F.lower(t), w))) * 2.0
+        total = total + F.size(F.filter(tags, _contains(w))) * 2.0
     return total
 
 

@@ -20,6 +20,8 @@ def proposed_type(name: Column, path: Column) -> Column:
 
 def project_of(path: Column, name: Column, tags: Column, projects: dict[str, str]) -> Column:
     """The project of the first key found in path or name, else of the first tag that contains one."""
+    if not projects:
+        return F.lit(None).cast("string")
     direct = [F.when(F.contains(path, F.lit(k)) | F.contains(name, F.lit(k)), p) for k, p in projects.items()]
     of_tag = lambda t: F.coalesce(*[F.when(F.contains(F.lower(t), F.lit(k.lower())), p) for k, p in projects.items()])
     tagged = F.try_element_at(F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), of_tag), lambda p: p.isNotNull()), F.lit(1))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notegrid.plans import training_queries
+from notegrid.plans import graph_queries, service_queries, text_queries, training_queries
 
-MODULES = [training_queries]
+MODULES = [training_queries, text_queries, graph_queries, service_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_queries.p1_name_stats(spark, sf_dir)
+    """Keyword, vector and graph ranks fused into one ranking."""
+    return service_queries.QUERIES["rk2_hybrid_search"](spark, sf_dir)
