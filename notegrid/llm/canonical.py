@@ -156,7 +156,9 @@ def match_values(values: DataFrame, reference: DataFrame) -> DataFrame:
             for pdf in batches:
                 yield search(trees, pdf)
 
-        return values.mapInPandas(whole, out).drop("cost")
+        # by number: adaptive execution would put small rows that take long in one task
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return values.repartition(tasks, F.xxhash64("field_name", "value")).mapInPandas(whole, out).drop("cost")
 
     def shard(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return search(trees_of(right[["canon_id", "field_name", "canon_value"]].itertuples(index=False)), left)
@@ -166,7 +168,7 @@ def match_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     spread = values.withColumn("block", F.pmod(F.xxhash64("field_name", "value"), F.lit(blocks)))
     spread = spread.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
     shards = entries.withColumn("shard", F.pmod(F.xxhash64("canon_id"), F.lit(n_shards)).cast("int"))
-    shards = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    shards = shards.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     hits = spread.groupBy("shard", "block").cogroup(shards.groupBy("shard", "block")).applyInPandas(shard, out)
     best = F.row_number().over(Window.partitionBy("field_name", "value").orderBy("cost", "canon_id"))
     return hits.withColumn("place", best).where(F.col("place") == 1).select("field_name", "value", "canon_id")

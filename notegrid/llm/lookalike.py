@@ -34,8 +34,8 @@ _SHAPES = {
 }
 #: Letters and marks that show nothing although their category isn't Cf or Cc.
 _INVISIBLE = {0x034F, 0x115F, 0x1160, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10)}
-_BREAKS = "\n\r\x0b\x0c\x85  "
-_JOINERS = "‌‍"
+_BREAKS = "\n\r\x0b\x0c\x85\u2028\u2029"
+_JOINERS = "\u200c\u200d"
 
 
 @lru_cache(maxsize=None)
@@ -146,7 +146,7 @@ class Normaliser:
 
     def text(self, text: str) -> str:
         """Line breaks become \\n, every space one plain space; the number of spaces stays."""
-        lines = re.split(r"\r\n|[\n\r\x0b\x0c\x85  ]", text)
+        lines = re.split(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]", text)
         out = []
         for line in lines:
             # what shows nothing goes first, so that it can't part a word or a space
@@ -181,7 +181,7 @@ def plain_spelling(word: str) -> bool:
 def frequent_spellings(docs: DataFrame, text_col: str, limit: int = VOCABULARY) -> list[tuple[str, int]]:
     """The `limit` most frequent words of all texts with their counts; words of
     ignorables and of other characters alone can't be told apart and stay out."""
-    words = docs.select(F.explode(F.split(text_col, r"(?U)[\s   \p{Cntrl}]+")).alias("w"))
+    words = docs.select(F.explode(F.split(text_col, r"(?U)[\s\u2007\u202f\u00a0\p{Cntrl}]+")).alias("w"))
     fits = (F.length("w") > 0) & (F.length("w") <= SPELLING_CHARS) & F.col("w").rlike(r"\p{L}")
     counts = words.where(fits).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     rows = counts.orderBy(F.desc("n"), "w").limit(limit).collect()  # at most `limit` short words
