@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space that may surround a typed reference.
-OUTER_SPACE = " \t\r\n 　"
+OUTER_SPACE = " \t\r\n\u00a0\u3000"
 
 
 def reference_key(c: Column) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notegrid.plans import graph_queries, service_queries, text_queries, training_queries
+from notegrid.plans import graph_queries, report_queries, service_queries, text_queries, training_queries
 
-MODULES = [training_queries, text_queries, graph_queries, service_queries]
+MODULES = [training_queries, text_queries, graph_queries, service_queries, report_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
