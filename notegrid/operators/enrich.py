@@ -62,23 +62,31 @@ def related_notes(notes: DataFrame, projects: dict[str, str], limit: int = 5, mo
     return kept.withColumn("place", place).where(F.col("place") <= limit).select(F.col("a").alias("key"), F.col("b_name").alias("related"), "score", "place")
 
 
-def missing_backlinks(notes: DataFrame, min_length: int = 5, limit: int = 10) -> DataFrame:
-    """(key, name): names of notes that a note's text mentions without a link, the
-    longest first.
+def mentions(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, short: int = 5, long: int = 12) -> DataFrame:
+    """(id, mention) of every name (column mention, from `short` letters on) that occurs in a text.
 
-    Every mention begins with the first min_length letters of a name, so the
-    positions of a text join the names on that prefix and the rest is compared at
-    the position: an equi-join instead of every text against every name.
+    A mention begins with the first letters of its name, so the places of a text
+    join the names on these and the whole name is compared afterwards: an equi-join
+    instead of every text against every name. Names from `long` letters on join on
+    as many, since many names share their first word.
     """
-    names = notes.select("name").where(F.length("name") >= min_length).distinct()
-    prefixes = names.select(F.substring("name", 1, min_length).alias("p"), F.col("name").alias("mention"))
-    text = notes.select("key", "name", "body", F.coalesce("wiki_links", F.array().cast("array<string>")).alias("links")).where(F.length("body") >= min_length)
-    starts = F.transform(F.sequence(F.lit(1), F.length("body") - min_length + 1), lambda i: F.substring(F.col("body"), i, F.lit(min_length)))
-    grams = text.select("key", F.explode(F.array_distinct(starts)).alias("p"))
-    found = grams.join(prefixes, "p").select("key", "mention").distinct()
-    hits = found.join(text, "key").where(F.contains("body", F.col("mention")) & (F.col("mention") != F.col("name")) & ~F.array_contains("links", F.col("mention")))
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.length("mention")), "mention"))
-    return hits.withColumn("place", place).where(F.col("place") <= limit).select("key", F.col("mention").alias("name"))
+    known = names.where(F.length("mention") >= short).select("mention").distinct()
+    size = F.when(F.length("mention") >= long, long).otherwise(short)
+    prefixes = known.select(F.substr("mention", F.lit(1), size).alias("p"), "mention")
+    rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") >= short)
+    starts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(n)))
+    grams = rows.select("id", F.explode(F.array_distinct(F.concat(starts(short), starts(long)))).alias("p"))
+    found = grams.join(prefixes, "p").select("id", "mention")
+    return found.join(rows, "id").where(F.contains("text", F.col("mention"))).select("id", "mention").distinct()
+
+
+def missing_backlinks(notes: DataFrame, min_length: int = 5, limit: int = 10) -> DataFrame:
+    """(key, name): names of notes that a note's text mentions without a link, the longest first."""
+    found = mentions(notes, notes.select(F.col("name").alias("mention")), "key", "body", min_length)
+    own = notes.select(F.col("key").alias("id"), "name", F.coalesce("wiki_links", F.array().cast("array<string>")).alias("links"))
+    hits = found.join(own, "id").where((F.col("mention") != F.col("name")) & ~F.array_contains("links", F.col("mention")))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.length("mention")), "mention"))
+    return hits.withColumn("place", place).where(F.col("place") <= limit).select(F.col("id").alias("key"), F.col("mention").alias("name"))
 
 
 def enrichment_plan(notes: DataFrame, projects: dict[str, str]) -> DataFrame:

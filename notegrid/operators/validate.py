@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notegrid import dims
@@ -12,9 +12,20 @@ from notegrid.operators import analytics, graph
 _VIOLATION = "struct<severity:string,rule:string,field:string,actual:string>"
 
 
+_FIELDS = sorted({
+    "type", "local_path", *dims.ENUM_FIELDS, *dims.DATE_FIELDS, *dims.URL_FIELDS, *(f for fs in dims.REQUIRED_FIELDS.values() for f in fs),
+    *(f for fs in dims.ANY_OF_FIELDS.values() for f in fs), *(f for _, fs, _ in dims.CARDINALITY for f in fs),
+})
+
+
+def _parsed(notes: DataFrame) -> DataFrame:
+    """Notes with the checked fields of the frontmatter in a column `fm`, parsed once."""
+    return notes.withColumn("fm", F.from_json("frontmatter", ", ".join(f"`{f}` string" for f in _FIELDS)))
+
+
 def _field(name: str) -> Column:
     """A frontmatter field as text; an empty list or object is no value."""
-    text = F.get_json_object("frontmatter", f"$.{name}")
+    text = F.col("fm")[name]
     return F.when(~text.isin("[]", "{}") & tx.present(text), text)
 
 
@@ -26,7 +37,7 @@ def _violation(when: Column, severity: str, rule: str, field: str, actual: Colum
 def note_violations(notes: DataFrame, types: DataFrame) -> DataFrame:
     """(key, entity_type, severity, rule, field, actual) of the checks that need one
     note alone: its type, closed lists, dates, addresses, required fields."""
-    rows = notes.join(types, "key")
+    rows = _parsed(notes).join(types, "key")
     raw = _field("type")
     plain = F.lower(tx.strip(raw))
     aliases = F.create_map(*[F.lit(x) for kv in dims.TYPE_ALIASES.items() for x in kv])
@@ -79,7 +90,7 @@ def relation_violations(relations: DataFrame, types: DataFrame, names: DataFrame
 
 def cardinality_violations(notes: DataFrame, types: DataFrame) -> DataFrame:
     """Types that need at least so many of several fields."""
-    rows = notes.join(types, "key")
+    rows = _parsed(notes).join(types, "key")
     checks = []
     for t, fields, least in dims.CARDINALITY:
         n = sum((_field(f).isNotNull().cast("int") for f in fields), F.lit(0))
@@ -91,8 +102,6 @@ def dangling_violations(edges: DataFrame, nodes: DataFrame, shown: int = 5) -> D
     """(name, referrers, n_referrers) of nodes without a record that edges point at."""
     missing = nodes.where("is_dangling").select("name")
     into = edges.select(F.col("dst").alias("name"), "src").distinct().join(missing, "name", "left_semi")
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("name").orderBy("src"))
     first = into.withColumn("place", place).where(F.col("place") <= shown).groupBy("name").agg(F.sort_array(F.collect_list("src")).alias("referrers"))
     return first.join(into.groupBy("name").agg(F.count(F.lit(1)).alias("n_referrers")), "name")

@@ -27,17 +27,12 @@ def ag14_plan_changes(v):
     return plan.groupBy(F.substring_index("change", ":", 1).alias("field"), F.substring_index("change", ": ", -1).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@book.query(r"""WITH c AS (SELECT DISTINCT name FROM knowledge_nodes WHERE source = 'contacts' AND length(name) >= 5), d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 5)
-    SELECT name, count(*) AS n_docs FROM c JOIN d ON contains(text, name) GROUP BY name HAVING count(*) >= 2""")
+@book.query("""SELECT target_name AS name, count(DISTINCT source_name) AS n_notes FROM knowledge_edges WHERE relation = 'participants' AND target_name <> ''
+    GROUP BY 1 HAVING count(DISTINCT source_name) >= 2""")
 def ag16_mention_counts(v):
-    """Documents that mention a contact, through the first letters of the names."""
-    contacts = v.knowledge_nodes.where((F.col("source") == "contacts") & (F.length("name") >= 5)).select(F.col("name").alias("mention")).distinct()
-    texts = v.documents.where(F.length("text") >= 5).select("doc_id", "text")
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - 4), lambda i: F.substring(F.col("text"), i, F.lit(5))))
-    grams = texts.select("doc_id", F.explode(starts).alias("p"))
-    found = grams.join(contacts.withColumn("p", F.substring("mention", 1, 5)), "p").select("doc_id", "mention")
-    hits = found.join(texts, "doc_id").where(F.contains("text", F.col("mention")))
-    return hits.groupBy(F.col("mention").alias("name")).agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= 2)
+    """People by the number of notes that name them, from two notes on."""
+    pairs = v.knowledge_edges.where((F.col("relation") == "participants") & (F.col("target_name") != "")).select("source_name", "target_name").distinct()
+    return pairs.groupBy(F.col("target_name").alias("name")).agg(F.count("source_name").alias("n_notes")).where(F.col("n_notes") >= 2)
 
 
 @book.query(r"""SELECT lower(regexp_extract(path, '(\.[^./]+)$', 1)) AS suffix, count(*) AS n, sum(length(content))::BIGINT AS chars FROM notes GROUP BY 1""")
