@@ -64,7 +64,7 @@ _HYBRID = ", ".join([
     f"nv AS (SELECT node_name AS key, {_COS.format(e='embedding')} AS score FROM (SELECT * FROM knowledge_embeddings WHERE model = 'atlas-embed-96' AND len(embedding) = (SELECT len(embedding) FROM knowledge_embeddings WHERE id = 1) QUALIFY row_number() OVER (PARTITION BY node_name ORDER BY id DESC) = 1))",
     "d AS (SELECT name, count(*)::DOUBLE AS rank FROM (SELECT src AS name FROM kg UNION ALL SELECT dst FROM kg) GROUP BY 1)",
     "k AS MATERIALIZED (SELECT key, score AS k FROM kw WHERE score > 0 ORDER BY score DESC, key LIMIT 30)", "w AS MATERIALIZED (SELECT * FROM (SELECT key, score AS v FROM nv ORDER BY score DESC, key LIMIT 30) WHERE v >= 0)",
-    """f AS (SELECT coalesce(k.key, w.key) AS key, coalesce(k, 0) / (SELECT max(k) FROM k) AS keyword_score, coalesce(v, 0) / (SELECT max(v) FROM w) AS vector_score FROM k FULL JOIN w ON k.key = w.key),
+    """f AS (SELECT coalesce(k.key, w.key) AS key, coalesce(coalesce(k, 0) / (SELECT max(k) FROM k), 0) AS keyword_score, coalesce(coalesce(v, 0) / nullif((SELECT max(v) FROM w), 0), 0) AS vector_score FROM k FULL JOIN w ON k.key = w.key),
     g AS (SELECT f.*, coalesce(d.rank, 0) / (SELECT max(rank) FROM d) AS graph_score FROM f LEFT JOIN d ON d.name = f.key)""",
 ])
 
