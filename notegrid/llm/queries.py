@@ -17,6 +17,11 @@ def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence.note_pairs(table(spark, sf_dir, "notes"), min_count=6)
 
 
+def p3_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole result of problem 3; p3_pairs has the pairs of 6 notes or more, as its SQL has."""
+    return cooccurrence.note_pairs(table(spark, sf_dir, "notes"), min_count=1)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence.above_chance(p3_pairs(spark, sf_dir), "4.7").select("field_name", "item_a", "item_b")
 
@@ -56,6 +61,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_pairs": p3_pairs,
+    "p3_all_pairs": p3_all_pairs,
     "p4_found": p4_found,
     "p4_entities": p4_entities,
     "p5_found": p5_found,

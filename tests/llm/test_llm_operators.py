@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from notegrid.llm import bpe, canonical, cooccurrence, edit, knn, lookalike, names, packing
+from notegrid.llm import bpe, canonical, cooccurrence, edit, knn, lookalike, names, packing, queries
 
 VECTORS = "id long, embedding array<float>, model string, grp string, cosine double"
 
@@ -114,6 +114,14 @@ def test_pairs_against_brute_force(spark):
     assert cooccurrence.note_pairs(df.limit(0), 1).collect() == []
 
 
+def test_all_pairs_has_rare_ones(spark, tmp_path):
+    data = [(f"k{i}", ["a", "b"] if i < 6 else ["a", f"t{i}"]) for i in range(9)]
+    spark.createDataFrame([(k, t, None, "clash", 1) for k, t in data], NOTES).write.parquet(str(tmp_path / "notes.parquet"))
+    got = {(r.item_a, r.item_b): r.n_ab for r in queries.QUERIES["p3_all_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {("a", "b"): 6, ("a", "t6"): 1, ("a", "t7"): 1, ("a", "t8"): 1}
+    assert [(r.item_a, r.item_b) for r in queries.QUERIES["p3_pairs"](spark, str(tmp_path)).collect()] == [("a", "b")]
+
+
 def test_long_records_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(cooccurrence, "BLOCK_ITEMS", 7)
     df = spark.createDataFrame([("a", [f"t{i}" for i in range(40)], ["L.md", "l", "x\\y"], "", 0)], NOTES)
