@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from itertools import islice
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -155,11 +155,8 @@ class Anchors:
             return []
         if not legal and not dotted and len(words) == 2 and not any(w in self.trade_set for w in words) and min(len(w) for w, m in zip(words, meant) if m) < 3:
             return []
-        phrases = [""]
-        for m in meant:
-            if m:
-                phrases = [f"{p} {t}".strip() for p in phrases for t in islice(m, 4)]
-        return [("org:" + " ".join(sorted(p.split())), "".join(core), len(phrases) == 1) for p in phrases[:16]]
+        phrases = sorted({" ".join(sorted(p)) for p in product(*[m for m in meant if m])})
+        return [("org:" + p, "".join(core), len(phrases) == 1) for p in phrases]
 
     def _person(self, words: list[str], given: list[int]) -> list[tuple[str, str, bool]]:
         if len(words) == 1:

@@ -182,6 +182,13 @@ def test_spellings_of_one_name(spark):
     assert all(frozenset([m]) in groups for m in more)
 
 
+def test_abbreviation_of_many_trades(spark):
+    trades = ["Cargo", "Catering", "Ceramics", "Chemicals", "Clothing", "Construction"]
+    more = [f"{s} {t} Inc." for s in ("Abxomir", "Troumixel", "Zelgaduro") for t in trades]
+    groups = linked(spark, [*more, "Kuxnilbor Construction LLC", "Kuxnilbor C. LLC"])
+    assert frozenset(["Kuxnilbor Construction LLC", "Kuxnilbor C. LLC"]) in groups and all(frozenset([m]) in groups for m in more)
+
+
 def test_unclear_and_odd_names(spark, rows):
     groups = linked(spark, ["Barbara Foxmuldir", "Bernard Foxmuldir", "B. Foxmuldir", "-", " ", "", None, "x" * 5000, "Barbara Foxmuldir"])
     assert groups == {frozenset([x]) for x in ("Barbara Foxmuldir", "Bernard Foxmuldir", "B. Foxmuldir", "-", "x" * 5000)}
