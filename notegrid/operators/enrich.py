@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from notegrid import dims
 from notegrid.functions import text as tx
+from notegrid.tables import cut_lineage
 
 
 def proposed_type(name: Column, path: Column) -> Column:
@@ -62,6 +63,49 @@ def related_notes(notes: DataFrame, projects: dict[str, str], limit: int = 5, mo
     return kept.withColumn("place", place).where(F.col("place") <= limit).select(F.col("a").alias("key"), F.col("b_name").alias("related"), "score", "place")
 
 
+def all_related_notes(notes: DataFrame, projects: dict[str, str], limit: int = 5, first: int = 1_024) -> DataFrame:
+    """related_notes over all tags and dates, however many notes hold them.
+
+    The notes are walked in their order, `first` and then twice as many at a time.
+    A note that has its `limit` leaves the walk, and so does one that can't reach 3
+    points, so that the pairs of a frequent tag or date aren't all formed.
+    """
+    none = F.array().cast("array<string>")
+    rows = notes.select("key", "name", "ord", project_of(F.col("path"), F.col("name"), F.col("tags"), projects).alias("project"), F.array_distinct(F.coalesce("tags", none)).alias("tags"), F.nullif(F.regexp_extract("name", r"^(\d{4}-\d{2}-\d{2})", 1), F.lit("")).alias("day"))
+    n_tags, dated, placed = F.size("tags"), F.col("day").isNotNull(), F.col("project").isNotNull()
+    rows = cut_lineage(rows.where((n_tags >= 3) | ((n_tags >= 2) & (dated | placed)) | (dated & placed)))
+    bounds, size, n = [], first, rows.count()
+    while sum(bounds) < n:
+        bounds.append(size)
+        size *= 2
+    ords = rows.select("ord")
+    found, open_, low = None, rows, None
+    for size in bounds:
+        left = ords if low is None else ords.where(F.col("ord") > low)
+        high = left.orderBy("ord").limit(size).agg(F.max("ord")).first()[0]
+        if high is None:
+            break
+        part = rows.where((F.col("ord") <= high) & (F.lit(True) if low is None else F.col("ord") > low))
+        end = lambda df, c: df.select(*[F.col(x).alias(f"{c}_{x}") for x in ("key", "name", "ord", "project")])
+        at = lambda df, c: df.select(F.col("key").alias(c), F.explode("tags").alias("tag"))
+        on = lambda df, c: df.where(F.col("day").isNotNull()).select(F.col("key").alias(c), "day")
+        common = at(open_, "a").join(at(part, "b"), "tag").where(F.col("a") != F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("points")).where(F.col("points") >= 2)
+        same_day = on(open_, "a").join(on(part, "b"), "day").where(F.col("a") != F.col("b")).select("a", "b", F.lit(2).cast("long").alias("points"))
+        scores = common.unionByName(same_day).groupBy(F.col("a").alias("a_key"), F.col("b").alias("b_key")).agg(F.sum("points").alias("points"))
+        full = scores.join(end(open_, "a"), "a_key").join(end(part, "b"), "b_key").where(F.col("a_name") != F.col("b_name"))
+        score = F.col("points") + F.coalesce(F.col("a_project") == F.col("b_project"), F.lit(False)).cast("int")
+        hits = full.withColumn("score", score).where(F.col("score") >= 3)
+        place = F.row_number().over(Window.partitionBy("a_key").orderBy("b_ord", "b_key"))
+        hits = hits.withColumn("place", place).where(F.col("place") <= limit).select(F.col("a_key").alias("key"), "b_key", "b_ord", F.col("b_name").alias("related"), "score")
+        found = cut_lineage(hits if found is None else found.unionByName(hits))
+        done = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
+        open_, low = cut_lineage(rows.join(done.select("key"), "key", "left_anti")), high
+    if found is None:
+        return notes.sparkSession.createDataFrame([], "key string, related string, score long, place int")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("b_ord", "b_key"))
+    return found.withColumn("place", place).where(F.col("place") <= limit).select("key", "related", "score", "place")
+
+
 def mentions(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, short: int = 5, long: int = 12) -> DataFrame:
     """(id, mention) of every name (column mention, from `short` letters on) that occurs in a text.
 

@@ -89,6 +89,20 @@ def jn9_related_notes(v):
     return rows.select("key", "related", F.col("score").cast("long").alias("score"), "place")
 
 
+@book.query(f"""{with_('cur')}, r AS (SELECT key, name, ord, list_distinct(coalesce(tags, [])) AS tags, nullif(regexp_extract(name, '^(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), '') AS day,
+      coalesce(CASE WHEN contains(path, 'Harbor') OR contains(name, 'Harbor') THEN 'Harbor' END, CASE WHEN contains(path, 'Loom') OR contains(name, 'Loom') THEN 'Loom' END,
+      list_filter(list_transform(coalesce(cur.tags, []), lambda t: CASE WHEN contains(lower(t), 'harbor') THEN 'Harbor' WHEN contains(lower(t), 'loom') THEN 'Loom' END), lambda x: x IS NOT NULL)[1]) AS project FROM cur),
+    t AS (SELECT key, unnest(tags) AS tag FROM r),
+    c AS (SELECT a.key AS a, b.key AS b, count(*) AS p FROM t a JOIN t b ON a.tag = b.tag AND a.key <> b.key GROUP BY 1, 2 HAVING count(*) >= 2),
+    s AS (SELECT a, b, sum(p) AS p FROM (SELECT * FROM c UNION ALL SELECT a.key, b.key, 2 FROM r a JOIN r b ON a.day = b.day AND a.key <> b.key) GROUP BY 1, 2),
+    f AS (SELECT s.a, y.name AS related, y.ord, y.key, CAST(p + CASE WHEN x.project = y.project THEN 1 ELSE 0 END AS BIGINT) AS score FROM s JOIN r x ON x.key = s.a JOIN r y ON y.key = s.b WHERE x.name <> y.name)
+    SELECT a AS key, related, score, CAST(row_number() OVER (PARTITION BY a ORDER BY ord, key) AS INT) AS place FROM f WHERE score >= 3 QUALIFY row_number() OVER (PARTITION BY a ORDER BY ord, key) <= 5""")
+def jn9_all_related_notes(v):
+    """The whole result; jn9_related_notes leaves out tags and dates of 100 notes or more, as its SQL does."""
+    rows = enrich.all_related_notes(v.current(), {"Harbor": "Harbor", "Loom": "Loom"})
+    return rows.select("key", "related", F.col("score").cast("long").alias("score"), "place")
+
+
 @book.query("""WITH log AS (SELECT source_name AS src, target_name AS dst, relation AS type FROM knowledge_edges)
     SELECT src, dst FROM log WHERE type = 'supports' AND src IS NOT NULL INTERSECT SELECT src, dst FROM log WHERE type = 'contradicts'""")
 def va8_contradictions(v):

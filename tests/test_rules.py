@@ -144,3 +144,12 @@ def test_windows(spark, rows):
     ev = spark.createDataFrame([(1, at(0), "x", 1.0), (1, at(20), "x", 2.0), (1, at(70), "y", 3.0)], "user_id long, ts timestamp, event_type string, value double")
     assert [r[2] for r in rows(incremental.window_counts(ev))] == [2, 1]
     assert [r[2] for r in rows(incremental.sessions(ev))] == [2, 1]
+
+
+def test_related_by_frequent_tags_and_days(spark, rows):
+    data = [(f"n{i}", f"2024-01-05 n{i}", f"Harbor/n{i}.md", i, ["x", "y", "z"]) for i in range(120)] + [("d1", "2024-01-05 p", "Harbor/p.md", 500, None), ("q", "q", "q.md", 501, ["x", "y"])]
+    notes = spark.createDataFrame(data, "key string, name string, path string, ord long, tags array<string>")
+    want = [("d1", f"2024-01-05 n{i}", 3, i + 1) for i in range(5)] + [("n3", f"2024-01-05 n{i}", 6, p) for p, i in enumerate((0, 1, 2, 4, 5), 1)]
+    for first in (2, 1_024):
+        got = enrich.all_related_notes(notes, {"Harbor": "H"}, first=first)
+        assert rows(got.where("key IN ('d1', 'n3', 'q')"), "key", "related", "score", "place") == want
