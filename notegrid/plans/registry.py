@@ -11,4 +11,4 @@ MODULES = [training_queries, text_queries, graph_queries, service_queries, repor
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword, vector and graph ranks fused into one ranking."""
-    return service_queries.QUERIES["rk2_hybrid_search"](spark, sf_dir)
+    return service_queries.QUERIES["rk2_pagerank_search"](spark, sf_dir)

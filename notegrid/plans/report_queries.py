@@ -9,7 +9,7 @@ from notegrid import dims
 from notegrid.functions import text as tx
 from notegrid.operators import analytics, enrich, graph, retrieve
 from notegrid.plans.book import Book, with_
-from notegrid.plans.service_queries import QUESTION, _hybrid
+from notegrid.plans.service_queries import QUESTION, _hybrid, weighted_ranks
 from notegrid.plans.text_queries import PROJECTS, TOPICS
 
 book = Book()
@@ -68,7 +68,7 @@ def _memory(v):
 def rk8_integrated_search(v):
     """Hits of the memory first, then those of the vault that aren't among them."""
     memory = _memory(v).select("name", "score", F.lit("memory").alias("origin"))
-    vault = _hybrid(v).select(F.col("key").alias("name"), "score", F.lit("vault").alias("origin"))
+    vault = _hybrid(v, weighted_ranks(v)).select(F.col("key").alias("name"), "score", F.lit("vault").alias("origin"))
     seen = memory.select(F.lower("name").alias("low"))
     return memory.unionByName(vault.withColumn("low", F.lower("name")).join(seen, "low", "left_anti").drop("low"))
 
@@ -81,6 +81,13 @@ def so13_densest_view(v):
     return analytics.induced_edges(e, top).select("src", "dst", "type", "weight")
 
 
+@book.query()
+def so13_pagerank_view(v):
+    """The reference's view; so13_densest_view takes the nodes of the highest degree, as its SQL does."""
+    top = weighted_ranks(v).orderBy(F.desc("rank"), "name").limit(200)
+    return analytics.induced_edges(v.edges(), top).select("src", "dst", "type", "weight")
+
+
 @book.query(f"""{with_('kg')}, d AS (SELECT name, count(*) FILTER (o = 1) AS x, count(*) FILTER (o = 0) AS y FROM (SELECT src AS name, 1 AS o FROM kg UNION ALL SELECT dst, 0 FROM kg) GROUP BY 1),
     m AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM d)
     SELECT name, 1000.0::DOUBLE * (x - x0) / CASE WHEN x1 = x0 THEN 1 ELSE x1 - x0 END AS px, 1000.0::DOUBLE * (y - y0) / CASE WHEN y1 = y0 THEN 1 ELSE y1 - y0 END AS py FROM d, m""")
@@ -117,10 +124,9 @@ def jn1_namesakes(v):
 @book.query()
 def rk4_search_modes(v):
     """The same question in each mode; a mode is a triple of weights."""
-    e = v.edges()
     notes = graph.latest(v.current().withColumn("back", -F.col("ord")), ["name"], "back")
     docs = notes.select(F.col("name").alias("key"), "name", "body", "tags")
-    ranks = analytics.degrees(e).select(F.col("node").alias("name"), F.col("degree").cast("double").alias("rank"))
+    ranks = weighted_ranks(v)
     q = v.knowledge_embeddings.where(F.col("id") == 1).select("embedding").first()[0]
     vectors = graph.latest(v.knowledge_embeddings.where(F.size("embedding") == len(q)), ["node_name"], "id").select(F.col("node_name").alias("key"), F.col("embedding").alias("vector"))
     modes = [retrieve.hybrid_search(docs, vectors, ranks, QUESTION, q, mode, 10).withColumn("mode", F.lit(mode)) for mode in ("hybrid", "vector", "graph")]

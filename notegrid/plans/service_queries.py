@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from notegrid import dims
 from notegrid.functions import text as tx
-from notegrid.operators import graph, retrieve, score, state, validate
+from notegrid.operators import analytics, graph, retrieve, score, state, validate
 from notegrid.plans.book import Book, with_
 from notegrid.streaming import incremental
 
@@ -72,27 +72,37 @@ _HYBRID = ", ".join([
 @book.query(f"""{with_('cur', 'kg', more=_HYBRID)} SELECT key, round(0.5::DOUBLE * keyword_score + 0.3::DOUBLE * vector_score + 0.2::DOUBLE * graph_score, 9) AS score FROM g
     WHERE NOT starts_with(lower(key), 'untitled') ORDER BY 0.5::DOUBLE * keyword_score + 0.3::DOUBLE * vector_score + 0.2::DOUBLE * graph_score DESC, key LIMIT 10""")
 def rk2_hybrid_search(v):
-    return _hybrid(v).select("key", F.round("score", 9).alias("score"))
+    return _hybrid(v, _degree_ranks(v)).select("key", F.round("score", 9).alias("score"))
 
 
-def _hybrid(v):
-    from notegrid.operators.analytics import degrees
+@book.query()
+def rk2_pagerank_search(v):
+    """The reference's ranking; the graph part of rk2_hybrid_search is the degree, as in its SQL."""
+    return _hybrid(v, weighted_ranks(v)).select("key", F.round("score", 9).alias("score"))
+
+
+def weighted_ranks(v):
+    """(name, rank): weighted PageRank of the stored edges over all nodes."""
+    e = v.edges()
+    return analytics.pagerank(e, graph.graph_nodes(v.live(), e).select("name"))
+
 
+def _degree_ranks(v):
+    return analytics.degrees(v.edges()).select(F.col("node").alias("name"), F.col("degree").cast("double").alias("rank"))
+
+
+def _hybrid(v, ranks):
     notes = graph.latest(v.current().withColumn("back", -F.col("ord")), ["name"], "back")
     docs = notes.select(F.col("name").alias("key"), "name", "body", "tags")
     own = v.knowledge_embeddings.where((F.col("model") == "atlas-embed-96") & (F.size("embedding") == len(_qvector(v))))
     vectors = graph.latest(own, ["node_name"], "id").select(F.col("node_name").alias("key"), F.col("embedding").alias("vector"))
-    ranks = degrees(v.edges()).select(F.col("node").alias("name"), F.col("degree").cast("double").alias("rank"))
     return retrieve.hybrid_search(docs, vectors, ranks, QUESTION, _qvector(v), "hybrid", 10)
 
 
 @book.query()
 def rk5_graph_context(v):
-    from notegrid.operators.analytics import degrees
-
-    e = v.edges()
-    ranks = degrees(e).select(F.col("node").alias("name"), F.col("degree").cast("double").alias("rank"))
-    context = retrieve.graph_context(e, ranks, _hybrid(v), hops=1)
+    ranks = weighted_ranks(v)
+    context = retrieve.graph_context(v.edges(), ranks, _hybrid(v, ranks), hops=1)
     docs = graph.latest(v.current(), ["name"], "ord").select(F.col("name").alias("key"), "body")
     return retrieve.context_prompt(context, docs)
 

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from notegrid.operators import analytics, graph, lineage
+from notegrid.plans import service_queries
+from notegrid.plans.book import Vault
 
 NOTE = "path string, name string, key string, content string, body string, frontmatter string, wiki_links array<string>, tags array<string>, ord long, deleted_at timestamp"
 
@@ -148,3 +150,24 @@ def test_resolve_node(spark):
 def test_degrees_count_own_edges_twice(spark, rows):
     assert rows(analytics.degrees(graph_of(spark, ("a", "a", "r", 1), ("a", "b", "r", 1)))) == [("a", 3, 1, 2), ("b", 1, 1, 0)]
     assert analytics.graph_summary(names(spark, "a").withColumn("is_dangling", F.lit(False)), graph_of(spark).limit(0)).first().density == 0.0
+
+
+def test_ranks_of_searches_are_weighted_pagerank(spark, tmp_path):
+    log = [(i, f"s{i}", "busy", 0.01) for i in range(8)] + [(100 + i, f"s{i}", "rich", 1.0) for i in range(7)] + [(200 + i, "busy", f"s{i}", 1.0) for i in range(8)]
+    spark.createDataFrame([(i, a, b, "uses", w) for i, a, b, w in log], "id long, source_name string, target_name string, relation string, weight double").write.parquet(str(tmp_path / "knowledge_edges.parquet"))
+    spark.createDataFrame([(1, "alone", None, None, None)], "id long, name string, entity_type string, source_path string, deleted_at timestamp").write.parquet(str(tmp_path / "knowledge_nodes.parquet"))
+    got = {r["name"]: r["rank"] for r in service_queries.weighted_ranks(Vault(spark, str(tmp_path))).collect()}
+    names_ = sorted(got)
+    out = {n: {} for n in names_}
+    for _, a, b, w in log:
+        out[a][b] = w
+    rank = dict.fromkeys(names_, 1 / len(names_))
+    for _ in range(200):
+        lost = sum(rank[n] for n in names_ if not out[n])
+        new = dict.fromkeys(names_, 0.15 / len(names_) + 0.85 * lost / len(names_))
+        for a in names_:
+            for b, w in out[a].items():
+                new[b] += 0.85 * rank[a] * w / sum(out[a].values())
+        rank = new
+    assert "alone" in got and all(abs(got[n] - rank[n]) < 1e-4 for n in names_)
+    assert got["rich"] > got["busy"]  # the degree has it the other way round
