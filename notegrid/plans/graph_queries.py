@@ -271,6 +271,40 @@ def ga15_cycles(v):
     return analytics.cycles(v.edges(), dims.DEPENDENCY_RELATIONS, 3)
 
 
+# The whole jobs of queries above that cover less, as their SQL does.
+
+
+@book.query()
+def ga2_settled_pagerank(v):
+    e = v.edges()
+    return analytics.pagerank(e, graph.graph_nodes(v.live(), e).select("name"))
+
+
+def _all_components(v):
+    e = v.edges()
+    return analytics.components(e, graph.graph_nodes(v.live(), e).select("name"))
+
+
+@book.query()
+def ga3_all_components(v):
+    return _all_components(v)
+
+
+@book.query()
+def ag12_all_component_sizes(v):
+    return analytics.component_histogram(_all_components(v))
+
+
+@book.query()
+def ga7_all_simple_paths(v):
+    return analytics.simple_paths(v.edges(), "Tool Shelf", "Open Questions")
+
+
+@book.query()
+def ga15_longer_cycles(v):
+    return analytics.cycles(v.edges(), dims.DEPENDENCY_RELATIONS)
+
+
 @book.query()
 def ga11_communities(v):
     e = v.edges()

@@ -194,6 +194,14 @@ def sk7_bulk_import(v):
     return state.import_new(target, rows, ["name"])
 
 
+@book.query()
+def sk7_whole_import(v):
+    """Into all nodes; sk7_bulk_import takes those up to id 500 as the target, as its SQL does."""
+    target = v.knowledge_nodes.where(F.col("name") != "").groupBy("name").agg(F.min("source").alias("source"))
+    rows = v.knowledge_edges.select(F.col("source_name").alias("name"), F.lit("import").alias("source"), F.col("id").alias("seq"))
+    return state.import_new(target, rows, ["name"])
+
+
 _URLS = r"u AS (SELECT doc_id, source AS topic, text AS content, rtrim(regexp_extract(text, 'https?://[^\s)>\]]+', 0), '.,;:!?') AS url FROM documents)"
 
 

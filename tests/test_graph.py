@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from notegrid import dims
 from notegrid.operators import analytics, graph, lineage
-from notegrid.plans import service_queries
+from notegrid.plans import graph_queries, service_queries
 from notegrid.plans.book import Vault
 
 NOTE = "path string, name string, key string, content string, body string, frontmatter string, wiki_links array<string>, tags array<string>, ord long, deleted_at timestamp"
@@ -171,3 +172,22 @@ def test_ranks_of_searches_are_weighted_pagerank(spark, tmp_path):
         rank = new
     assert "alone" in got and all(abs(got[n] - rank[n]) < 1e-4 for n in names_)
     assert got["rich"] > got["busy"]  # the degree has it the other way round
+
+
+def test_whole_graph_queries(spark, tmp_path, rows):
+    dep = dims.DEPENDENCY_RELATIONS[0]
+    ends = [("Tool Shelf", "a", "wiki_link"), ("a", "b", "related"), ("b", "c", "uses"), ("c", "Open Questions", "wiki_link")]
+    ends += [(f"l{i}", f"l{(i + 1) % 4}", dep) for i in range(4)]
+    spark.createDataFrame([(i, a, b, t, 1.0) for i, (a, b, t) in enumerate(ends)], "id long, source_name string, target_name string, relation string, weight double").write.parquet(str(tmp_path / "knowledge_edges.parquet"))
+    nodes = [(1, "alone"), (900, "a")]
+    spark.createDataFrame([(i, n, None, "vault", None, None) for i, n in nodes], "id long, name string, entity_type string, source string, source_path string, deleted_at timestamp").write.parquet(str(tmp_path / "knowledge_nodes.parquet"))
+    run = lambda name: {**graph_queries.QUERIES, **service_queries.QUERIES}[name](spark, str(tmp_path))
+    path = ["Tool Shelf", "a", "b", "c", "Open Questions"]
+    loop = [f"l{i}" for i in range(4)]
+    assert rows(run("ga3_all_components"), "name", "component") == sorted([(n, "Open Questions") for n in path] + [(n, "l0") for n in loop] + [("alone", "alone")])
+    assert rows(run("ag12_all_component_sizes"), "bucket", "n_components", "n_nodes") == [("1", 1, 1), ("3-5", 2, 9)]
+    assert rows(run("ga7_all_simple_paths"), "path", "length") == [(path, 4)]
+    assert rows(run("ga15_longer_cycles"), "cycle", "length") == [(loop, 4)]
+    ranks = dict(rows(run("ga2_settled_pagerank"), "name", "rank"))
+    assert sum(ranks.values()) == pytest.approx(1) and ranks["l0"] == pytest.approx(ranks["l3"], rel=1e-3)
+    assert ("a", "vault") in rows(run("sk7_whole_import"), "name", "source")
