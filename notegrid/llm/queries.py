@@ -13,6 +13,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.similar_pairs(knn.nearest_rows(vectors, "id", "embedding", ["model"], k=10, min_cosine=0.85))
 
 
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole result of problem 2, without the least cosine of p2_found."""
+    return knn.nearest_rows(table(spark, sf_dir, "knowledge_embeddings"), "id", "embedding", ["model"], k=10, prefix=8, posts=8, candidates=256)
+
+
 def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence.note_pairs(table(spark, sf_dir, "notes"), min_count=6)
 
@@ -59,6 +64,7 @@ def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found,
+    "p2_neighbours": p2_neighbours,
     "p3_found": p3_found,
     "p3_pairs": p3_pairs,
     "p3_all_pairs": p3_all_pairs,

@@ -46,6 +46,14 @@ def test_neighbours_recall(spark):
     assert len(want) > 3000 and len(got & want) / len(want) >= 0.95 and len(got - want) <= len(want - got) + 5
 
 
+def test_every_vector_has_ten_neighbours(spark, tmp_path):
+    x = np.random.default_rng(7).normal(size=(60, 24))
+    items = [(i, v.tolist(), "m") for i, v in enumerate(x)]
+    vectors(spark, items).write.parquet(str(tmp_path / "knowledge_embeddings.parquet"))
+    got = {(r.id, r.other) for r in queries.QUERIES["p2_neighbours"](spark, str(tmp_path)).collect()}
+    assert len(got) == 600 and got == brute_neighbours(items, 10, -1)
+
+
 def test_neighbours_of_odd_vectors(spark, rows):
     items = [
         (1, [1.0, 0.0], "m"), (2, [2.0, 0.0], "m"), (3, [1.0, 0.0], "n"), (4, [1.0, 0.0, 0.0], "m"), (5, None, "m"), (6, [], "m"), (7, [0.0, 0.0], "m"), (8, [0.0, 0.0], "m"),
