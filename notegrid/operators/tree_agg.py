@@ -1,12 +1,12 @@
 """Per-key results when a few keys hold most rows: multi-level tree aggregation.
 
-Each input split (a chunk of fixed size, spark.sql.files.maxPartitionBytes) is
-combined where it is read, by the map side of the first aggregation. The states
-of a key then merge in rounds: in each round a state meets at most `fan_in`
-others, because the grouping key carries the number of the chunk divided by a
-power of `fan_in`. The number of rounds is the logarithm of the number of
-splits, so no reducer ever receives all partial states of a hot key, and a
-round of one level is Spark's usual two-phase aggregation.
+The input is cut into chunks of CHUNK_ROWS rows as it is read. A local round
+combines the chunks of a task (the map side of the first aggregation); the
+states of a key then merge in rounds of fan-in: the grouping key carries the
+number of the chunk divided by a power of `fan_in`, so a node of the tree meets
+about `fan_in` states of a key and no reducer receives all partial states of a
+hot one. The number of rounds is the logarithm of the number of chunks, two at
+least.
 """
 
 from __future__ import annotations
@@ -16,18 +16,21 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notegrid.tables import conf_bytes, input_bytes
+#: Rows of a chunk.
+CHUNK_ROWS = 65_536
 
 #: How a state of each kind starts from a value and merges with others.
 _MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 _START = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
 
 
-def fan_in_rounds(df: DataFrame, fan_in: int) -> int:
-    """Rounds needed so that no merge meets more than fan_in states of one key."""
-    split = conf_bytes(df.sparkSession, "spark.sql.files.maxPartitionBytes", "128m")
-    splits = max(2, math.ceil(input_bytes(df) / split))
-    return min(6, max(1, math.ceil(math.log(splits, fan_in))))
+def fan_in_rounds(chunks: int, fan_in: int) -> int:
+    """Rounds in which `chunks` states become one, fan_in at a time; two at least,
+    so that small tables take the same way as large ones."""
+    rounds, reach = 1, fan_in
+    while reach < chunks:
+        rounds, reach = rounds + 1, reach * fan_in
+    return max(2, rounds)
 
 
 def tree_aggregate(
@@ -35,31 +38,33 @@ def tree_aggregate(
     keys: list[str],
     aggs: dict[str, tuple[str, Column | str]],
     fan_in: int = 16,
-    rounds: int | None = None,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """One row per distinct `keys` with the named aggregates.
 
     aggs maps an output name to (kind, column); kinds are count (of non-null
     values), sum, min and max. Null keys form a group of their own, as in SQL.
     No rows give no groups. Other columns of df are not read, so extra or
-    clashing names do no harm. Every row is used; nothing is sampled.
+    clashing names do no harm. Every row is used; nothing is sampled. n_rows is
+    the number of rows if the caller knows it (an upper bound does); otherwise
+    they are counted. It sets the shape of the tree, never the result.
     """
     if fan_in < 2:
         raise ValueError("fan_in must be at least 2")
     unknown = {kind for kind, _ in aggs.values()} - set(_MERGE)
     if unknown:
         raise ValueError(f"unknown aggregates: {sorted(unknown)}")
-    rounds = fan_in_rounds(df, fan_in) if rounds is None else rounds
+    chunks = max(1, math.ceil((df.count() if n_rows is None else n_rows) / CHUNK_ROWS))
+    rounds = fan_in_rounds(chunks, fan_in)
     value = {n: (F.col(c) if isinstance(c, str) else c) for n, (_, c) in aggs.items()}
-    states = df.select(
-        *[F.col(k) for k in keys],
-        *[value[n].alias(f"__{n}") for n in aggs],
-        *([F.pmod(F.spark_partition_id(), F.lit(fan_in**rounds)).alias("__chunk")] if rounds > 1 else []),
-    )
+    # the id holds the number of the split above bit 33 and the row's number in it below:
+    # the chunks of a split have consecutive numbers, those of different splits may share one
+    row = F.monotonically_increasing_id()
+    chunk = F.pmod(F.shiftright(row, 33) * fan_in + F.floor(row.bitwiseAND((1 << 33) - 1) / CHUNK_ROWS), F.lit(fan_in**rounds))
+    states = df.select(*[F.col(k) for k in keys], *[value[n].alias(f"__{n}") for n in aggs], chunk.alias("__chunk"))
     call = _START
     for level in range(rounds - 1, -1, -1):
-        if level:
-            states = states.withColumn("__chunk", F.floor(F.col("__chunk") / fan_in).cast("int"))
+        states = states.withColumn("__chunk", F.floor(F.col("__chunk") / fan_in))
         by = keys + (["__chunk"] if level else [])
         states = states.groupBy(*by).agg(*[call[kind](f"__{n}").alias(f"__{n}") for n, (kind, _) in aggs.items()])
         call = _MERGE
@@ -85,8 +90,8 @@ def heavy_names(edges: DataFrame, share: float = 0.02, fan_in: int = 16) -> Data
     All rows count, those with a null or empty name too, but such names are not
     returned. An empty table gives no names.
     """
-    counts = tree_aggregate(edge_ends(edges), ["side", "name"], {"edges": ("count", F.lit(1))}, fan_in)
-    total = edges.select().agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    total = edges.count()
+    counts = tree_aggregate(edge_ends(edges), ["side", "name"], {"edges": ("count", F.lit(1))}, fan_in, 2 * total)
     return counts.where((F.col("name") != "") & (F.col("edges") >= F.lit(share) * total))
 
 
@@ -96,15 +101,17 @@ def name_stats(edges: DataFrame, fan_in: int = 16) -> DataFrame:
     weight_sum adds the weights in millionths, so that the order of rows cannot
     change it; null weights add nothing and a name with none but nulls has a
     null sum. neighbours counts distinct names at the other end, null and empty
-    ones left out. The distinct pairs are formed first, by a hash of both names
-    with map-side combining, which spreads a hub's neighbours over all tasks.
+    ones left out. Distinct (source, target) pairs are formed first, once for
+    both sides, by a hash of both names with map-side combining, which spreads a
+    hub's neighbours over all tasks.
     """
-    ends = edge_ends(edges, F.round(F.col("weight") * 1_000_000).cast("bigint").alias("w")).where(F.col("name") != "")
-    pairs = ends.groupBy("side", "name", "other").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+    weight = F.round(F.col("weight") * 1_000_000).cast("bigint")
+    pairs = edges.groupBy("source_name", "target_name").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w"))
     stats = tree_aggregate(
-        pairs,
+        edge_ends(pairs, F.col("n"), F.col("w")).where(F.col("name") != ""),
         ["side", "name"],
         {"edges": ("sum", "n"), "weight": ("sum", "w"), "neighbours": ("count", F.when(F.col("other") != "", F.lit(1)))},
         fan_in,
+        2 * edges.count(),
     )
     return stats.select("side", "name", "edges", (F.col("weight") / 1_000_000).alias("weight_sum"), "neighbours")

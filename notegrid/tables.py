@@ -12,18 +12,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, taken from file sizes: nothing is run."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def conf_bytes(spark: SparkSession, key: str, default: str) -> int:
-    """A Spark size setting in bytes ("16m" is 16777216)."""
-    text = spark.conf.get(key, default).strip().lower().rstrip("b")
-    unit = {"k": 10, "m": 20, "g": 30, "t": 40}.get(text[-1:], 0)
-    return int(text[:-1] if unit else text) << unit
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder of spark.checkpoint.dir. Only a local master, where
     driver and executors share one disk, gets a temporary folder if none is set."""

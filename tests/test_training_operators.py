@@ -5,8 +5,9 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from notegrid.operators import tree_agg
 from notegrid.operators.orphans import orphan_references, orphan_report, vault_orphans
-from notegrid.operators.tree_agg import heavy_names, name_stats, tree_aggregate
+from notegrid.operators.tree_agg import fan_in_rounds, heavy_names, name_stats, tree_aggregate
 
 EDGE = "id long, source_name string, target_name string, relation string, weight double, metadata string, created_at timestamp_ntz, side string"
 
@@ -15,7 +16,7 @@ def edges(spark, pairs):
     return spark.createDataFrame([(i, a, b, "uses", w, None, None, "x") for i, (a, b, w) in enumerate(pairs)], EDGE)
 
 
-def test_tree_rounds_agree(spark, rows):
+def test_tree_rounds_agree(spark, rows, monkeypatch):
     rng = random.Random(1)
     data = [(rng.choice(["hot"] * 8 + list("abcdef") + [None]), rng.randint(0, 9)) for _ in range(3000)]
     df = spark.createDataFrame(data, "k string, v int").repartition(24)
@@ -23,9 +24,17 @@ def test_tree_rounds_agree(spark, rows):
     for k, v in data:
         want[k].append(v)
     expect = sorted(((k, len(v), sum(v), min(v), max(v)) for k, v in want.items()), key=repr)
-    for rounds in (1, 2, 4):
-        got = tree_aggregate(df, ["k"], {"n": ("count", F.lit(1)), "s": ("sum", "v"), "lo": ("min", "v"), "hi": ("max", "v")}, 3, rounds)
+    for n_rows in (None, 100_000, 10_000_000):
+        got = tree_aggregate(df, ["k"], {"n": ("count", F.lit(1)), "s": ("sum", "v"), "lo": ("min", "v"), "hi": ("max", "v")}, 3, n_rows)
         assert rows(got) == expect
+    monkeypatch.setattr(tree_agg, "CHUNK_ROWS", 7)
+    assert rows(tree_aggregate(df, ["k"], {"n": ("count", F.lit(1)), "s": ("sum", "v"), "lo": ("min", "v"), "hi": ("max", "v")}, 2)) == expect
+
+
+def test_tree_has_two_rounds_at_least(spark):
+    assert [fan_in_rounds(c, 16) for c in (0, 1, 16, 17, 256, 257, 5000)] == [2, 2, 2, 2, 2, 3, 4]
+    plan = heavy_names(edges(spark, [("a", "b", 1.0)] * 9))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
 
 
 def test_name_stats(spark, rows):
