@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Codes sorted at a time in a task: 16 MB.
 RUN_CODES = 1 << 21
-#: A longer record is cut into blocks of so many items, and pairs of blocks are tasks' units.
+#: A longer record is cut into blocks of so many items, whose pairs are spread over tasks.
 BLOCK_ITEMS = 2_048
 #: Numbers are given within so many buckets of a hash, without a global order.
 BUCKETS = 1_024
@@ -37,13 +37,15 @@ def link_item(c: Column) -> Column:
 
 
 def note_items(notes: DataFrame) -> DataFrame:
-    """Distinct (field_name, record, item) of the tags and links of notes."""
-    tags = F.transform("tags", lambda t: F.struct(F.lit("tags").alias("field_name"), tag_item(t).alias("item")))
-    links = F.transform("wiki_links", lambda t: F.struct(F.lit("wiki_links").alias("field_name"), link_item(t).alias("item")))
-    none = F.array().cast("array<struct<field_name:string,item:string>>")
-    both = F.array_distinct(F.concat(F.coalesce(tags, none), F.coalesce(links, none)))
-    items = notes.select(F.col("key").alias("record"), F.inline(both))
-    return items.where(F.col("record").isNotNull() & (F.col("item") != "")).select("field_name", "record", "item").distinct()
+    """Distinct (field_name, record, item) of the tags and links of notes.
+
+    Written without lambda functions: a plan that has them isn't seen to equal
+    itself, and the items would be formed and shuffled once for each use.
+    """
+    fields = F.array(F.struct(F.lit("tags").alias("field_name"), F.col("tags").alias("xs")), F.struct(F.lit("wiki_links").alias("field_name"), F.col("wiki_links").alias("xs")))
+    typed = notes.where(F.col("key").isNotNull()).select(F.col("key").alias("record"), F.inline(fields)).select("field_name", "record", F.explode("xs").alias("x"))
+    item = F.when(F.col("field_name") == "tags", tag_item(F.col("x"))).otherwise(link_item(F.col("x")))
+    return typed.select("field_name", "record", item.alias("item")).where(F.col("item") != "").distinct()
 
 
 def _runs(codes: np.ndarray) -> pa.RecordBatch:
@@ -95,6 +97,29 @@ def _merge_runs(batches):
         yield pa.record_batch([pa.array([last], pa.int64()), pa.array([total], pa.int64())], names=["code", "n"])
 
 
+def record_blocks(items: DataFrame) -> DataFrame:
+    """(a, b): blocks of at most BLOCK_ITEMS numbers whose pairs are to be coded; b is
+    null where the pairs within a are meant. items: (field_name, record, num).
+
+    A record is never held as a whole: its items are numbered by a streaming
+    window and collected by block. Records of one block are coded where they are;
+    of longer ones every two blocks meet by a shuffle on the record and the two
+    block numbers, so that the block pairs of one long record are spread.
+    """
+    record = ["field_name", "record"]
+    block = F.floor((F.row_number().over(Window.partitionBy(*record).orderBy("num")) - 1) / BLOCK_ITEMS).cast("int")
+    blocks = items.withColumn("block", block).groupBy(*record, "block").agg(F.collect_list("num").alias("nums"))
+    blocks = blocks.withColumn("last", F.max("block").over(Window.partitionBy(*record)))
+    none = F.lit(None).cast("array<int>")
+    own = blocks.where(F.size("nums") > 1).select(F.col("nums").alias("a"), none.alias("b"))
+    # a block goes once to each other block of its record
+    other = F.explode(F.sequence(F.lit(0), F.col("last")))
+    met = blocks.where(F.col("last") > 0).select(*record, "block", "nums", other.alias("other")).where(F.col("block") != F.col("other"))
+    lo, hi = F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
+    two = met.select(*record, lo, hi, "nums").groupBy(*record, "lo", "hi").agg(F.min("nums").alias("a"), F.max("nums").alias("b"))
+    return own.union(two.select("a", "b"))
+
+
 def cooccurring_pairs(items: DataFrame, n_records: DataFrame, min_count: int = 1) -> DataFrame:
     """(field_name, item_a, item_b, n_ab, n_a, n_b, n_records, lift, odds_ratio), item_a < item_b.
 
@@ -109,17 +134,7 @@ def cooccurring_pairs(items: DataFrame, n_records: DataFrame, min_count: int = 1
     bucket = F.pmod(F.xxhash64("field_name", "item"), F.lit(BUCKETS)).cast("int")
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("field_name", "item"))
     numbered = counts.withColumn("bucket", bucket).withColumn("num", ((place - 1) * BUCKETS + F.col("bucket")).cast("int")).drop("bucket")
-    records = items.join(numbered.select("field_name", "item", "num"), ["field_name", "item"]).groupBy("field_name", "record").agg(F.collect_list("num").alias("nums"))
-    records = records.where(F.size("nums") > 1)
-    n_blocks = F.ceil(F.size("nums") / BLOCK_ITEMS).cast("int")
-    cut = lambda i: F.slice(F.col("nums"), i * BLOCK_ITEMS + 1, F.lit(BLOCK_ITEMS))
-    grid = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), n_blocks - 1),
-            lambda i: F.transform(F.sequence(i, n_blocks - 1), lambda j: F.struct(cut(i).alias("a"), F.when(i != j, cut(j)).alias("b"))),
-        )
-    )
-    blocks = records.select(F.inline(grid))
+    blocks = record_blocks(items.join(numbered.select("field_name", "item", "num"), ["field_name", "item"]))
     runs = blocks.mapInArrow(_pair_codes, "code long, n long")
     merged = runs.repartition("code").sortWithinPartitions("code").mapInArrow(_merge_runs, "code long, n long")
     pairs = merged.where(F.col("n") >= min_count).select(

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from notegrid.llm import bpe, canonical, cooccurrence, edit, knn, lookalike, names, packing, queries
 
@@ -139,6 +140,16 @@ def test_long_records_are_cut_into_blocks(spark, monkeypatch):
     assert [(r.item_a, r.item_b) for r in got if r.field_name == "wiki_links"] == [("l", "x/y")]
 
 
+def test_one_very_long_record(spark):
+    """The pairs of 100,000 items of one record are counted as they stream by; none is kept."""
+    items = spark.range(100_000).selectExpr("'tags' AS field_name", "'r' AS record", "CAST(id AS INT) AS num")
+    blocks = cooccurrence.record_blocks(items)
+    pairs = F.when(F.col("b").isNull(), F.size("a") * (F.size("a") - 1) / 2).otherwise(F.size("a") * F.size("b"))
+    n, total, widest = blocks.select(F.size("a").alias("n"), pairs.cast("long").alias("p")).agg(F.count("n"), F.sum("p"), F.max("n")).first()
+    assert (n, total, widest) == (49 * 50 // 2, 100_000 * 99_999 // 2, cooccurrence.BLOCK_ITEMS)
+    assert cooccurrence.record_blocks(items.limit(0)).collect() == []
+
+
 def test_above_chance_is_exact(spark, rows):
     df = spark.createDataFrame([(10, 47, 10, 10), (10, 47, 10, 11)], "n_ab long, n_records long, n_a long, n_b long")
     assert rows(cooccurrence.above_chance(df, "4.7"), "n_b") == [] and rows(cooccurrence.above_chance(df, "4.69"), "n_b") == [(10,)]
