@@ -1,10 +1,12 @@
 """Texts that look the same brought to one form.
 
-Words are looked up in a trie of the corpus's frequent spellings by a weighted
-edit automaton: putting a look-alike for a character, and inserting or dropping
-an ignorable one, costs nothing, and no other edit is within the budget of zero.
-Of the spellings reached the most frequent one is canonical. Words that reach
-none, and everything between words, are normalised by the table.
+Words are read as typed by a weighted edit automaton that walks a trie of the
+corpus's frequent spellings: a look-alike for a character and a dropped ignorable
+cost nothing, and no other edit is within the budget of zero. Of the spellings
+reached the most frequent one is canonical, and texts are compared by these.
+Words that reach none are normalised by the table. Plain ASCII words, most of a
+corpus, are walked once for all when the trie is built: only those change of
+which a look-alike is more frequent.
 """
 
 from __future__ import annotations
@@ -92,69 +94,128 @@ def table_form(text: str) -> str:
     return unicodedata.normalize("NFC", apart)
 
 
+def units(ch: str) -> str:
+    """What the automaton reads for one typed character: the decomposed characters
+    that are seen, of plain width and in the shapes of the table; '' for an ignorable."""
+    return "".join(_SHAPES.get(c, c) for c in unicodedata.normalize("NFD", shape(ch)))
+
+
 class SpellingTrie:
-    """Frequent spellings, searched with free look-alikes and ignorables."""
+    """Frequent spellings as a trie, walked by a weighted edit automaton.
+
+    A state is a node of the trie with the cost so far. Edges that put a look-alike
+    (another alphabet, another width, composed for decomposed, a ligature for its
+    letters) or drop an ignorable cost nothing, any other edit costs 1. States above
+    the budget die; with the budget of 0 only spellings that look the same are reached.
+    """
 
     def __init__(self, spellings: list[tuple[str, int]]):
+        #: A node is a dict from the shape on an edge to the edges' (character, node); "" holds (count, spelling).
         self.root: dict = {}
         for word, count in spellings:
             node = self.root
-            for ch in word:
-                node = node.setdefault(ch, {})
+            for ch in unicodedata.normalize("NFD", word):
+                edges = node.setdefault(_SHAPES.get(ch, ch), [])
+                child = next((n for c, n in edges if c == ch), None)
+                if child is None:
+                    child = {}
+                    edges.append((ch, child))
+                node = child
             node[""] = (count, word)
 
+    @staticmethod
+    def _drop(states: dict, budget: int) -> dict:
+        """The states and those reached from them by letters of the spelling that weren't typed."""
+        todo = list(states.values())
+        while todo:
+            node, cost = todo.pop()
+            if cost == budget:
+                continue
+            for label, edges in node.items():
+                for _, child in edges if label else ():
+                    if states.get(id(child), (None, budget + 1))[1] > cost + 1:
+                        states[id(child)] = child, cost + 1
+                        todo.append((child, cost + 1))
+        return states
+
+    def walk(self, word: str, budget: int = 0) -> tuple[int, str] | None:
+        """(cost, spelling): the cheapest, then most frequent, then first spelling within the budget."""
+        states = self._drop({id(self.root): (self.root, 0)}, budget)
+        for ch in unicodedata.normalize("NFD", word):
+            for unit in units(ch):
+                after: dict = {}
+
+                def reach(node: dict, cost: int) -> None:
+                    if cost <= budget and after.get(id(node), (None, budget + 1))[1] > cost:  # noqa: B023
+                        after[id(node)] = node, cost  # noqa: B023
+
+                for node, cost in states.values():
+                    for _, child in node.get(unit, ()):
+                        reach(child, cost)
+                    if cost < budget:
+                        reach(node, cost + 1)
+                        for label, edges in node.items():
+                            for _, child in edges if label and label != unit else ():
+                                reach(child, cost + 1)
+                states = self._drop(after, budget)
+                if not states:
+                    return None
+        ends = [(cost, -node[""][0], node[""][1]) for node, cost in states.values() if "" in node]
+        return (min(ends)[0], min(ends)[2]) if ends else None
+
     def find(self, word: str) -> str | None:
-        """The most frequent spelling at cost 0; among equals the first by code point."""
-        seen = table_form(word)
-        best: tuple[int, str] | None = None
-        # a state is a node, the place in the word, and what is left of a character that shows as several
-        stack: list[tuple[dict, int, str]] = [(self.root, 0, "")]
-        size = len(seen)
-        while stack:
-            node, at, rest = stack.pop()
-            if at == size and not rest and "" in node:
-                count, spelling = node[""]
-                if best is None or (-count, spelling) < (-best[0], best[1]):
-                    best = (count, spelling)
-            for ch, child in node.items():
-                if not ch:
-                    continue
-                want = rest + shape(ch)
-                if not want:
-                    stack.append((child, at, ""))  # an ignorable of the spelling
-                elif seen.startswith(want, at):
-                    stack.append((child, at + len(want), ""))
-        return best[1] if best else None
+        """The canonical spelling of a word, None if it looks like none."""
+        hit = self.walk(word)
+        return hit[1] if hit else None
+
+
+_SPACES = re.compile("[" + "".join(chr(i) for i in (*range(0x2000, 0x200B), 0x9, 0xA0, 0x1680, 0x202F, 0x205F, 0x2800, 0x3000)) + "]")
+_LINE_END = re.compile("\r\n|[\r\x0b\x0c\x85\u2028\u2029]")
+#: A word that isn't plain ASCII; it can only start after a space, so that long words aren't tried at every place.
+_TYPED_WORD = re.compile(r"(?<![^ \n])[\x21-\x7e]*+[^\x20-\x7e\n][^ \n]*+")
+_ANY_WORD = re.compile(r"[^ \n]+")
 
 
 class Normaliser:
-    """Canonical texts: words by the trie, the rest by the table."""
+    """Canonical texts: words by the trie, the words it has no spelling of by the table."""
 
     def __init__(self, spellings: list[tuple[str, int]]):
         self.trie = SpellingTrie(spellings)
-        self.known: dict[str, str] = {}
-
-    def word(self, word: str) -> str:
-        form = self.known.get(word)
-        if form is None:
-            form = self.trie.find(word) or table_form(word)
-            if len(self.known) > CACHE_SIZE:
-                self.known.clear()
+        self.known: dict[str, tuple[str, bool]] = {}
+        # plain ASCII words stay as they are unless a look-alike of them is more frequent: those are walked here, once
+        ascii_forms = {f for w, _ in spellings if not w.isascii() and (f := table_form(w)).isascii()}
+        self.moved = {f: form for f in ascii_forms if (form := self.trie.find(f)) is not None and form != f}
+
+    def decide(self, word: str) -> tuple[str, bool]:
+        """(form, by the trie)."""
+        hit = self.known.get(word)
+        if hit is None:
+            form = self.trie.find(word)
+            if form is None:
+                table = table_form(word)
+                # a mark parted from its letter is only put in order by the table
+                form = self.trie.find(table) if table != word else None
+            hit = (form, True) if form is not None else (table, False)
             if len(word) <= SPELLING_CHARS:
-                self.known[word] = form
-        return form
+                if len(self.known) > CACHE_SIZE:
+                    self.known.clear()
+                self.known[word] = hit
+        return hit
 
-    def text(self, text: str) -> str:
+    def _form(self, m: re.Match) -> str:
+        word = m[0]
+        return self.moved.get(word, word) if word.isascii() and word.isprintable() else self.decide(word)[0]
+
+    @staticmethod
+    def lines(text: str) -> str:
         """Line breaks become \\n, every space one plain space; the number of spaces stays."""
-        lines = re.split(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]", text)
-        out = []
-        for line in lines:
-            # what shows nothing goes first, so that it can't part a word or a space
-            line = drop_joiners(line)
-            if not line.isascii() or not line.isprintable():
-                line = "".join(" " if shape(c) == " " else c for c in line if c in _JOINERS or shape(c))
-            out.append(" ".join(self.word(w) if w else "" for w in line.split(" ")))
-        return "\n".join(out)
+        return _SPACES.sub(" ", _LINE_END.sub("\n", drop_joiners(text)))
+
+    def text(self, text: str) -> str:
+        text = self.lines(text)
+        if self.moved and not self.moved.keys().isdisjoint(text.replace("\n", " ").split(" ")):
+            return _ANY_WORD.sub(self._form, text)
+        return _TYPED_WORD.sub(self._form, text)
 
 
 _NORMALISERS: dict[int, Normaliser] = {}
@@ -229,17 +290,56 @@ def lookalike_classes(docs: DataFrame, id_col: str, text_col: str, limit: int =
     return docs.select(id_col, text_col).mapInPandas(run, f"id {kind}, class_hi long, class_lo long, text_hash long")
 
 
-def lookalike_pairs(docs: DataFrame, id_col: str, text_col: str, limit: int = VOCABULARY) -> DataFrame:
+def lookalike_pairs(docs: DataFrame, id_col: str, text_col: str, limit: int = VOCABULARY, block: int = 1_024) -> DataFrame:
     """(doc_id_a, doc_id_b), doc_id_a < doc_id_b: texts that differ but look the same.
 
-    Classes of one text only, however many copies, are left out before pairs are
-    formed. Null and blank texts, and those of ignorables alone, are in no pair.
+    Pairs are formed of the distinct texts of a class, and rows are put in last:
+    the rows of a text are cut into blocks of about `block`, and every two blocks
+    are a join key of their own, so that many copies of two texts are spread over
+    tasks. Classes of one text, however many copies, form no pairs. Null and blank
+    texts, and those of ignorables alone, are in no pair.
     """
-    # three joins read the classes: four numbers a text, written once
+    # several joins read the classes: four numbers a text, written once
+    classes = cut_lineage(lookalike_classes(docs, id_col, text_col, limit))
+    key = ["class_hi", "class_lo"]
+    mixed = classes.groupBy(*key).agg(F.min("text_hash").alias("x"), F.max("text_hash").alias("y")).where("x <> y").select(*key)
+    members = classes.join(mixed, key, "left_semi")
+    texts = members.groupBy(*key, "text_hash").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    x = texts.select(*key, F.col("text_hash").alias("x"), F.col("blocks").alias("x_blocks"))
+    y = texts.select(*key, F.col("text_hash").alias("y"), F.col("blocks").alias("y_blocks"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    pairs = x.join(y, key).where("x < y").withColumn("i", upto("x_blocks")).withColumn("j", upto("y_blocks"))
+    placed = members.join(texts, [*key, "text_hash"]).select(*key, "text_hash", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("at"), "id")
+    a = placed.withColumnsRenamed({"text_hash": "x", "at": "i", "id": "a"})
+    b = placed.withColumnsRenamed({"text_hash": "y", "at": "j", "id": "b"})
+    rows = pairs.join(a, [*key, "x", "i"]).join(b, [*key, "y", "j"]).where("a <> b")
+    return rows.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
+
+
+def class_rows(docs: DataFrame, id_col: str, text_col: str, limit: int = VOCABULARY) -> DataFrame:
+    """(id, class_id, n_docs, n_texts): one row for each text with a visible character:
+    the least id of those that look the same, and how many rows and different texts they are."""
     classes = cut_lineage(lookalike_classes(docs, id_col, text_col, limit))
-    mixed = classes.groupBy("class_hi", "class_lo").agg(F.min("text_hash").alias("x"), F.max("text_hash").alias("y")).where("x <> y")
-    members = classes.join(mixed.select("class_hi", "class_lo"), ["class_hi", "class_lo"], "left_semi")
-    a = members.withColumnsRenamed({"id": "doc_id_a", "text_hash": "x"})
-    b = members.withColumnsRenamed({"id": "doc_id_b", "text_hash": "y"})
-    pairs = a.join(b, ["class_hi", "class_lo"]).where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("x") != F.col("y")))
-    return pairs.select("doc_id_a", "doc_id_b").distinct()
+    texts = classes.groupBy("class_hi", "class_lo", "text_hash").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    sizes = texts.groupBy("class_hi", "class_lo").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_texts"))
+    return classes.join(sizes, ["class_hi", "class_lo"]).select(F.col("id").alias(id_col), "class_id", "n_docs", "n_texts")
+
+
+def word_decisions(docs: DataFrame, text_col: str, limit: int = VOCABULARY) -> DataFrame:
+    """(decided_by, n_words, n_changed): the words that got their form by a spelling of
+    the trie or by the table, and how many of these differ from it, over all texts."""
+    spellings = docs.sparkSession.sparkContext.broadcast(frequent_spellings(docs, text_col, limit))
+
+    def run(batches):
+        form = _normaliser(spellings.value)
+        for pdf in batches:
+            n = {True: [0, 0], False: [0, 0]}
+            for t in pdf[text_col]:
+                for w in _ANY_WORD.findall(form.lines(t)) if t else ():
+                    seen, known = form.decide(w)
+                    n[known][0] += 1
+                    n[known][1] += seen != w
+            yield pd.DataFrame([("spelling", *n[True]), ("table", *n[False])], columns=["decided_by", "n_words", "n_changed"])
+
+    counts = docs.select(text_col).mapInPandas(run, "decided_by string, n_words long, n_changed long")
+    return counts.groupBy("decided_by").agg(F.sum("n_words").alias("n_words"), F.sum("n_changed").alias("n_changed"))

@@ -58,6 +58,15 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.class_rows(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the trie decides and how many the table."""
+    return lookalike.word_decisions(table(spark, sf_dir, "documents"), "text")
+
+
 def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.normalise_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -75,6 +84,8 @@ QUERIES = {
     "p8_containers": p8_containers,
     "p9_found": p9_found,
     "p9_texts": p9_texts,
+    "p9_classes": p9_classes,
+    "p9_words": p9_words,
 }
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(8195) || chr(8201) || chr(8239) || chr(8199) || chr(12288)"

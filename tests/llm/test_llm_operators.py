@@ -328,6 +328,27 @@ def test_look_alike_pairs(spark, rows):
     assert lookalike.lookalike_pairs(df.limit(0), "doc_id", "text").collect() == []
 
 
+def test_many_copies_of_two_texts(spark):
+    data = [(i, "vault", "clash") for i in range(120)] + [(500 + i, "vаult", "clash") for i in range(30)] + [(900, "vau​lt", ""), (901, "other", ""), (902, "other", ""), (903, " ", ""), (904, None, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string, blocks string")
+    got = lookalike.lookalike_pairs(df, "doc_id", "text", block=16).collect()
+    assert len(got) == len(set(got)) == 120 * 30 + 120 + 30 and all(r.doc_id_a < r.doc_id_b for r in got)
+    classes = {r.doc_id: tuple(r)[1:] for r in lookalike.class_rows(df, "doc_id", "text").collect()}
+    assert classes == {i: (0, 151, 3) for i in [*range(120), *range(500, 530), 900]} | {901: (901, 2, 1), 902: (901, 2, 1)}
+    words = {r.decided_by: (r.n_words, r.n_changed) for r in lookalike.word_decisions(df, "text").collect()}
+    assert words == {"spelling": (153, 31), "table": (0, 0)}
+    assert lookalike.class_rows(df.limit(0), "doc_id", "text").collect() == []
+
+
+def test_automaton_weighs_edits():
+    trie = lookalike.SpellingTrie([("vault", 3), ("café", 2), ("fin", 1), ("fan", 4)])
+    typed = {"vаult": "vault", "ｖａｕｌｔ": "vault", "va​ult": "vault", "café": "café", "ﬁn": "fin", "vaul": None, "cafe": None, "": None}
+    assert {w: trie.find(w) for w in typed} == typed
+    assert [trie.walk(w, 1) for w in ("vaul", "vaultt", "vоult", "fon", "f", "cafe")] == [(1, "vault"), (1, "vault"), (1, "vault"), (1, "fan"), None, (1, "café")]
+    form = lookalike.Normaliser([("сор", 9), ("cop", 3)])
+    assert form.text("cop cоp сор cops") == "сор сор сор cops" and form.text("cop") == "сор"
+
+
 def test_canonical_spelling_is_the_frequent_one():
     form = lookalike.Normaliser([("сок", 5), ("cop", 3), ("vault", 9)])
     assert form.text("coк сoк") == "сок сок" and form.text("vаult") == "vault" and form.text("ѕaw") == "saw"
