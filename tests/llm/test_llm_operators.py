@@ -2,10 +2,12 @@
 
 import base64
 import itertools
+import os
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from notegrid.llm import bpe, canonical, cooccurrence, edit, knn, lookalike, names, packing, queries
 
+DATA = "/root/testdata/sf0.1"
 VECTORS = "id long, embedding array<float>, model string, grp string, cosine double"
 
 
@@ -43,10 +46,48 @@ def test_neighbours_recall(spark):
     x = np.concatenate([base + 0.25 * rng.normal(size=base.shape) for _ in range(6)])
     items = [(i, v.tolist(), "m") for i, v in enumerate(x)]
     want = brute_neighbours(items, 5, 0.8)
-    got = {(r.id, r.other) for r in knn.nearest_rows(vectors(spark, items), "id", "embedding", ["model"], k=5, min_cosine=0.8, list_size=128).collect()}
+    got = {(r.id, r.other) for r in knn.nearest_rows(vectors(spark, items), "id", "embedding", ["model"], k=5, min_cosine=0.8, per_pivot=43, posts=3, candidates=64).collect()}
     assert len(want) > 3000 and len(got & want) / len(want) >= 0.95 and len(got - want) <= len(want - got) + 5
 
 
+def exact_search(folder, every):
+    """{id: its 10 nearest ids} by brute force, for the ids divisible by `every`."""
+    t = pq.read_table(f"{folder}/knowledge_embeddings.parquet").to_pydict()
+    groups = defaultdict(list)
+    for i, m, v in zip(t["id"], t["model"], t["embedding"]):
+        if v and None not in v and any(v):
+            groups[m, len(v)].append((i, v))
+    out = {}
+    for members in groups.values():
+        members.sort()
+        ids = np.array([i for i, _ in members])
+        x = np.array([v for _, v in members], dtype=np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        for at in np.flatnonzero(ids % every == 0):
+            c = np.round(x @ x[at], 12)
+            c[at] = -2
+            out[int(ids[at])] = [int(j) for j in ids[np.argsort(-c, kind="stable")[:10]] if j != ids[at]]
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize(("name", "flat", "block"), [("p2_search", 4096, 4096), ("p2_neighbours", 4096, 4096), ("p2_neighbours", 64, 600), ("p2_search", 64, 600)])
+def test_recall_without_a_least_cosine(spark, monkeypatch, name, flat, block):
+    """At least 0.9 of the 10 nearest of every id divisible by 50, also with pivots in two levels and files in blocks."""
+    monkeypatch.setattr(knn, "FLAT_PIVOTS", flat)
+    monkeypatch.setattr(knn, "BLOCK", block)
+    found = queries.QUERIES[name](spark, DATA).where(F.col("id") % 50 == 0).select("id", "other").collect()
+    want = {(i, j) for i, near in exact_search(DATA, 50).items() for j in near}
+    got = {tuple(r) for r in found}
+    assert len(want) > 3500 and len(got) == len(want) and len(got & want) / len(want) >= 0.9
+
+
+def test_a_query_among_copies_of_others(spark):
+    items = [(i, [float(i % 3 + 1), 1.0, 0.5], "m") for i in range(30)]
+    found = knn.nearest_rows(vectors(spark, items), "id", "embedding", ["model"], k=2, posts=2, probes=4, queries=F.col("id") == 7).collect()
+    assert {(r.id, r.other) for r in found} == {(7, 1), (7, 4)}
+
+
 def test_every_vector_has_ten_neighbours(spark, tmp_path):
     x = np.random.default_rng(7).normal(size=(60, 24))
     items = [(i, v.tolist(), "m") for i, v in enumerate(x)]
@@ -68,7 +109,7 @@ def test_neighbours_of_odd_vectors(spark, rows):
 def test_neighbours_among_many_copies(spark):
     items = [(i, [1.0, 2.0, 3.0], "m") for i in range(400)] + [(1000, [1.0, 2.0, 3.1], "m"), (1001, [1.0, 0.0, 0.0], "m")]
     got = defaultdict(list)
-    for r in knn.nearest_rows(vectors(spark, items), "id", "embedding", ["model"], k=3, min_cosine=0.9, list_size=32).collect():
+    for r in knn.nearest_rows(vectors(spark, items), "id", "embedding", ["model"], k=3, min_cosine=0.9, per_pivot=10, posts=3).collect():
         got[r.id].append(r.other)
     assert sorted(got[0]) == [1, 2, 3] and sorted(got[399]) == [0, 1, 2] and sorted(got[1000]) == [0, 1, 2] and 1001 not in got
     pairs = knn.similar_pairs(knn.nearest_rows(vectors(spark, items), "id", "embedding", ["model"], k=3, min_cosine=0.9)).collect()
