@@ -218,7 +218,9 @@ def test_edit_distance_and_tree():
 def test_radius_join_is_exact():
     rng = random.Random(9)
     cores = list({"".join(rng.choice("abcdef") for _ in range(rng.randint(3, 10))) for _ in range(150)})
+    cores += ["a" * 29, "a" * 30, "a" * 31, "a" * 33, "a" * 30 + "bb", "ca", "cabbage", "abcbage", "cababge"]
     got = {(i, j) for i, j, _ in names.radius_pairs(cores, block=16)}
+    assert got == {(i, j) for i, j, _ in names.radius_pairs(cores, letters=6)}
     want = {(i, j) for i in range(len(cores)) for j in range(i + 1, len(cores)) if edit.edit_distance(cores[i], cores[j]) <= names.core_radius(min(len(cores[i]), len(cores[j])))}
     assert got == want
 
@@ -249,6 +251,48 @@ def test_abbreviation_of_many_trades(spark):
     assert frozenset(["Kuxnilbor Construction LLC", "Kuxnilbor C. LLC"]) in groups and all(frozenset([m]) in groups for m in more)
 
 
+def test_rare_given_names(spark):
+    """A given name that stands with one surname only has no cell of an established name."""
+    rare = ["Zorblax Hendricksen", "Zorblxa Hendricksen", "Zorblaxx Hendricksen", "Hendricksen Zorblax", "Hendricksen, Zorblax", "Z. Hendricksen"]
+    more = [f"{g} {s}" for g in ("Harold", "Quentin", "John") for s in ("Wombolmir", "Trixnardel", "Sollumdir", "Hendricksen")]
+    groups = linked(spark, [*rare, *more, "Joan Hendricksen", "Zorblax Wombolmir", "Jonh Hendricksen"])
+    assert frozenset(rare) in groups and {frozenset(["John Hendricksen", "Jonh Hendricksen"]), frozenset(["Joan Hendricksen"]), frozenset(["Zorblax Wombolmir"])} <= groups
+    assert all(frozenset([m]) in groups for m in more if m != "John Hendricksen")
+
+
+def test_misspelt_words_are_not_established():
+    words = [("harold", 600), ("harlod", 20), ("john", 500), ("joan", 90), ("zed", 3), ("christopher", 100), ("cristofer", 4)]
+    assert names.established(words) == ["harold", "john", "christopher", "joan", "zed"]
+
+
+def test_cells_by_the_triangle_inequality():
+    """Any two anchors within the radius meet in the home cell of either."""
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(3, 9))) for _ in range(300)})
+    space = names.AnchorSpace(words[::7])
+    for x, y in itertools.combinations(words, 2):
+        if abs(len(x) - len(y)) <= 2 and edit.edit_distance(x, y) <= names.anchor_radius(min(len(x), len(y))):
+            assert space.cells(x)[0] in space.cells(y) and space.cells(y)[0] in space.cells(x)
+
+
+@pytest.mark.parametrize("size", [16_384, 5])
+def test_large_cells_are_cut(spark, monkeypatch, size):
+    monkeypatch.setattr(names, "CELL_NODES", size)
+    rng = random.Random(8)
+    surnames = sorted({"".join(rng.choice("abcdefghiklmnoprstu") for _ in range(9)) for _ in range(40)})
+    spellings = [[f"Harold {s.title()}", f"Harold {s[:4]}x{s[4:]}", f"{s.title()}, Harold", f"H. {s.title()}"] for s in surnames]
+    assert linked(spark, [n for g in spellings for n in g]) == {frozenset(g) for g in spellings}
+
+
+def test_a_cell_of_many_names(spark):
+    """100,000 names of one given name: the cell is cut in blocks and every misspelling finds its name."""
+    names_of = spark.range(100_000).select(F.concat(F.lit("Harold "), F.translate(F.substring(F.md5(F.col("id").cast("string")), 1, 14), "0123456789", "ghijklmnop")).alias("name"))
+    typed = names_of.where(F.pmod(F.xxhash64("name"), F.lit(100)) == 0).select(F.concat(F.expr("substr(name, 1, 12)"), F.lit("zz"), F.expr("substr(name, 13)")).alias("name"))
+    got = names.link_names(names_of.union(typed)).groupBy("entity").agg(F.count("name").alias("n"), F.max(F.col("name").contains("zz")).alias("typed"))
+    sizes = {(r.n, r.typed): r["count"] for r in got.groupBy("n", "typed").count().collect()}
+    assert sizes == {(1, False): 100_000 - typed.count(), (2, True): typed.count()}
+
+
 def test_unclear_and_odd_names(spark, rows):
     groups = linked(spark, ["Barbara Foxmuldir", "Bernard Foxmuldir", "B. Foxmuldir", "-", " ", "", None, "x" * 5000, "Barbara Foxmuldir"])
     assert groups == {frozenset([x]) for x in ("Barbara Foxmuldir", "Bernard Foxmuldir", "B. Foxmuldir", "-", "x" * 5000)}
