@@ -41,6 +41,8 @@ ANCHOR_WORDS = 8_192
 ESTABLISHED = 3
 #: A word within the radius of one that is so many times as frequent is a misspelling of it.
 DOMINATED = 20
+#: A word that abbreviates one which is so many times as frequent is an abbreviation of it.
+ABBREVIATED = 3
 #: Nodes of a cell, or of a block of it, that are joined at a time.
 CELL_NODES = 16_384
 
@@ -379,16 +381,21 @@ def link_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["node", "other", "d", "sure"])
 
 
-def established(words: list[tuple[str, int]]) -> list[str]:
-    """Words that aren't within the radius of one DOMINATED times as frequent; words come with their counts."""
+def established(words: list[tuple[str, int]], shortened: bool = False) -> list[str]:
+    """Words that aren't within the radius of one DOMINATED times as frequent, nor (if
+    words may be shortened) abbreviate one ABBREVIATED times as frequent; words come
+    with their counts."""
     words = sorted(words, key=lambda w: (-w[1], w[0]))
     space = AnchorSpace([w for w, _ in words])
     count = dict(words)
     out = []
     for w, n in words:
         r = anchor_radius(len(w))
-        if not r or not any(count[u] >= DOMINATED * n and u != w for _, u in space._within(w, r)):
-            out.append(w)
+        if r and any(count[u] >= DOMINATED * n and u != w for _, u in space._within(w, r)):
+            continue
+        if shortened and any(m >= ABBREVIATED * n and abbreviates(w, u) for u, m in words):
+            continue
+        out.append(w)
     return out
 
 
@@ -400,8 +407,8 @@ def choose_anchors(names: DataFrame) -> Anchors:
 
     def trade_words(batches):
         for pdf in batches:
-            read = (plain_words(name) for name in pdf["name"])
-            rows = [(w, " ".join(words), True) for words, _, legal in read if legal for w in words[1:] if len(w) > 1]
+            read = ((name, *plain_words(name)) for name in pdf["name"])
+            rows = [(w, name, True) for name, words, _, legal in read if legal for w in words[1:] if len(w) > 1]
             yield pd.DataFrame(rows, columns=["word", "beside", "first"], dtype=object)
 
     def given_names(batches):
@@ -419,7 +426,7 @@ def choose_anchors(names: DataFrame) -> Anchors:
         often = counts.where((F.col("n") >= ESTABLISHED) & (F.col("n") > 2 * F.col("last")))
         return [(r.word, r.n) for r in often.orderBy(F.desc("n"), "word").limit(ANCHOR_WORDS).collect()]
 
-    trades = established(frequent(trade_words))
+    trades = established(frequent(trade_words), shortened=True)
     no_given = Anchors([], trades)
     return Anchors([w for w in established(frequent(given_names)) if w not in set(trades)], trades)
 
