@@ -76,19 +76,70 @@ PROPOSED_TYPES = [
 PROPOSED_FOLDERS = [("00.DAILY", "event"), ("TEMPLATES", "template"), ("tasks", "task"), ("docs", "document")]
 FOLDER_TYPES = {
     "00.DAILY": "event", "01.PROJECT": "project", "02.AREA": "concept", "03.RESOURCES": "source", "04.ARCHIVE": "note", "05.DEBUGGING": "event",
-    "tasks": "note", "docs": "note", "skills": "tool", "AI": "concept",
+    "tasks": "note", "docs": "note", "skills": "tool", "chatGPT": "source", "AI": "concept", "외부지식": "source", "스텁": "note",
 }
-#: Tags that speak for a type; ties go to the type that stands first.
+#: Tags that speak for a type; ties go to the type that stands first. Names of a vault's
+#: own projects aren't fixed values: `classify_notes` takes them as a parameter.
 TAG_TYPES = {
-    "person": ["person", "people", "team", "author", "mentor", "developer", "engineer", "founder", "ceo", "cto"],
-    "concept": ["concept", "idea", "theory", "principle", "pattern", "methodology", "strategy", "workflow", "paradigm"],
+    "person": ["person", "people", "team", "author", "mentor", "인물", "담당자", "고객", "파트너", "대표", "매니저", "developer", "engineer", "founder", "ceo", "cto"],
+    "concept": [
+        "concept", "idea", "theory", "principle", "pattern", "전략", "방법론", "아키텍처", "디자인패턴", "워크플로우",
+        "methodology", "strategy", "workflow", "paradigm", "온톨로지", "프레임워크설계", "모델", "알고리즘",
+    ],
     "project": ["project"],
-    "tool": ["tool", "software", "framework", "library", "plugin", "language", "python", "docker", "git", "api", "sdk", "cli"],
-    "insight": ["insight", "lesson", "takeaway", "learning", "til", "retrospective"],
-    "source": ["book", "video", "article", "paper", "podcast", "youtube", "blog", "reference"],
-    "event": ["meeting", "event", "conference", "review", "daily", "회의"],
-    "decision": ["decision", "policy", "architecture", "adr", "rfc"],
-}
+    "tool": [
+        "tool", "software", "framework", "library", "plugin", "language", "python", "typescript", "javascript", "react", "next", "node",
+        "docker", "ollama", "railway", "vercel", "expo", "supabase", "postgres", "postgresql", "mongodb", "redis", "influxdb",
+        "obsidian", "mcp", "api", "sdk", "cli", "git", "github", "vscode", "cursor", "claude", "openai", "gemini",
+        "n8n", "playwright", "vitest", "pnpm", "bun", "npm", "cloudflare", "aws", "gcp", "azure", "terraform",
+        "fastapi", "flask", "django", "express", "nextjs",
+    ],
+    "insight": ["insight", "lesson", "takeaway", "learning", "til", "회고", "retrospective", "발견", "교훈", "lessons-learned", "lessons_learned", "배운점"],
+    "source": ["book", "video", "article", "paper", "podcast", "youtube", "blog", "외부지식", "참고자료", "레퍼런스", "reference"],
+    "event": ["meeting", "event", "conference", "review", "daily", "미팅", "회의", "브리핑", "스프린트", "데모"],
+    "decision": ["decision", "policy", "architecture", "결정", "선택", "마이그레이션", "전환", "채택", "폐기", "adr", "rfc"],
+}
+#: A type for a node without a record, by its extension, then (after date and folder) by words of its name.
+EXTENSION_TYPES = {".pdf": "source", ".xlsx": "source", ".docx": "source", ".pptx": "source", ".csv": "source"}
+UNKNOWN_KEYWORDS = [
+    (["참고", "출처", "링크", "reference", "source"], "source"),
+    (["결정", "합의", "decision", "policy"], "decision"),
+    (["인사이트", "발견", "insight", "lesson"], "insight"),
+    (["프로젝트", "project"], "project"),
+    (["회의", "meeting", "daily"], "event"),
+]
+
+#: Metadata normalisation: other words for a status and, where TYPE_ALIASES has none, for a type.
+STATUS_ALIASES = {
+    "todo": "active", "done": "completed", "checked": "completed", "in-progress": "active", "review-needed": "active", "review_needed": "active", "inprogress": "active",
+}
+EXTRA_TYPE_ALIASES = {"newsletter": "source", "dashboard": "note", "memory": "project", "action-proposal": "concept"}
+INFERRED_DATE_FIELDS = ["event_date", "decided", "created", "updated", "create_time"]
+#: Words of a source's name, path, tags, headings or address that tell what it is, the first match wins.
+SOURCE_HINTS = [
+    ("video", ["youtube", "youtu.be", "vimeo", "video"]),
+    ("podcast", ["podcast"]),
+    ("newsletter", ["newsletter", "substack"]),
+    ("paper", ["arxiv", "doi.org", "/paper", "paper", ".pdf"]),
+    ("book", ["book", "ebook"]),
+]
+SOURCE_WEB_HINTS = ["blog", "article", "web"]
+SOURCE_NOTE_HINTS = ["guide", "manual", "reference", "playbook", "template", "checklist", "workflow", "report", "analysis"]
+SOURCE_NOTE_FOLDERS = ["docs", "tasks", "templates"]
+#: Words that tell a tool's category, the first match wins.
+TOOL_HINTS = [
+    ("plugin", ["plugin", "obsidian plugin", "extension"]),
+    ("language", ["python", "typescript", "javascript", "java", "kotlin", "swift", "go", "rust", "c++", "c#", "php", "ruby"]),
+    ("framework", ["fastapi", "django", "flask", "react", "next", "nextjs", "express", "vue", "svelte", "tailwind", "shadcn"]),
+    ("database", ["postgres", "postgresql", "mysql", "sqlite", "mongodb", "redis", "influxdb", "chromadb", "database"]),
+    ("model", ["gpt", "claude", "gemini", "llama", "qwen", "embedding", "reranker", "model", "llm"]),
+    ("platform", ["obsidian", "github", "docker", "platform", "openclaw", "railway", "vercel", "cloudflare", "aws", "gcp", "azure", "supabase"]),
+    ("service", ["api", "gateway", "service", "oauth", "auth", "token", "secret", "monitoring", "security", "webhook", "openai", "google places"]),
+    ("library", ["networkx", "numpy", "pandas", "rich", "click", "pyyaml", "pytest", "vitest", "esbuild"]),
+    ("tool", ["tool", "cli", "sdk", "editor"]),
+]
+CHOSEN_PREFIXES = ["chosen:", "decision:", "selected:"]
+RATIONALE_PREFIXES = ["rationale:", "reason:", "because:"]
 
 #: Direction of an edge in a lineage, in the order of display.
 LINEAGE_MODES = {

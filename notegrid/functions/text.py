@@ -72,7 +72,8 @@ def stem(c: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9가-힣]+", "-"), F.lit("-"))
+    """Lower case; letters, digits, plus and minus stay, what is between becomes one minus."""
+    return F.btrim(F.regexp_replace(F.lower(strip(c)), "[^a-z0-9+-]+", "-"), F.lit("-"))
 
 
 def unwrap_link(c: Column) -> Column:
@@ -83,7 +84,7 @@ def unwrap_link(c: Column) -> Column:
 
 def first_url(c: Column) -> Column:
     """The first http(s) address without trailing punctuation; null if there is none."""
-    found = F.rtrim(F.regexp_extract(c, r"https?://[^\s)>\]]+", 0), F.lit(".,;:!?"))
+    found = F.rtrim(F.regexp_extract(c, r"https?://[^\s<>\"]+", 0), F.lit(".,;:)]}\"'"))
     return F.when(found != "", found)
 
 
@@ -91,10 +92,21 @@ def domain(url: Column) -> Column:
     return F.regexp_extract(url, r"https?://(?:www\.)?([^/]+)", 1)
 
 
-def iso_date(c: Column) -> Column:
-    """A date typed as yyyy-MM-dd (also with _ or . or /) that exists; null else."""
-    text = F.regexp_extract(c, r"(\d{4})[-_./](\d{2})[-_./](\d{2})", 0)
-    return F.try_to_date(F.regexp_replace(text, r"[_./]", "-"), "yyyy-MM-dd")
+def typed_date(c: Column) -> Column:
+    """The first date of this century in a text that exists, as yyyy-MM-dd: with
+    separators, else compact, not inside a longer number; null if there is none."""
+    apart = [F.regexp_extract(c, rf"(?<!\d)(20\d{{2}}){sep}(\d{{2}}){sep}(\d{{2}})(?!\d)", 0) for sep in ("[-_.]", "")]
+    day = lambda t: F.date_format(F.try_to_date(F.regexp_replace(t, r"[-_.]", ""), "yyyyMMdd"), "yyyy-MM-dd")
+    return F.coalesce(*[day(t) for t in apart])
+
+
+def labelled_value(body: Column, prefixes: list[str]) -> Column:
+    """What follows the first line that begins with one of the prefixes, without regard to case; null if nothing does."""
+    lines = F.transform(F.split(F.coalesce(body, F.lit("")), r"\r\n|\r|\n"), strip)
+    starts = lambda s: F.greatest(F.lit(False), *[F.lower(s).startswith(p) for p in prefixes])
+    size = lambda s: F.coalesce(*[F.when(F.lower(s).startswith(p), len(p)) for p in prefixes])
+    rest = F.transform(F.filter(lines, starts), lambda s: F.btrim(F.substring(s, size(s) + 1, F.length(s)), F.lit(" -:")))
+    return F.nullif(F.try_element_at(rest, F.lit(1)), F.lit(""))
 
 
 def present(c: Column) -> Column:

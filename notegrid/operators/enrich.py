@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from notegrid import dims
 from notegrid.functions import text as tx
+from notegrid.operators import graph
 from notegrid.tables import cut_lineage
 
 
@@ -38,33 +39,12 @@ def topic_tags(body: Column, name: Column, tags: Column, topics: dict[str, list[
     return F.array_compact(F.array(*found))
 
 
-def related_notes(notes: DataFrame, projects: dict[str, str], limit: int = 5, most: int = 100) -> DataFrame:
+def related_notes(notes: DataFrame, projects: dict[str, str], limit: int = 5, first: int = 1_024) -> DataFrame:
     """(key, related, score, place): notes of the same project (1), with at least two
     common tags (1 each) or of the same date in the name (2), from 3 points on; the
-    first `limit` in the order of notes. Three equi-joins stand for the comparison of
-    all pairs. A score of 3 needs common tags or a common date, so a common project
-    is looked up for such pairs alone. Tags on `most` notes or more are too common
-    to relate notes and are left out."""
-    rows = notes.select("key", "name", "ord", project_of(F.col("path"), F.col("name"), F.col("tags"), projects).alias("project"), F.array_distinct(F.coalesce("tags", F.array().cast("array<string>"))).alias("tags"), F.nullif(F.regexp_extract("name", r"^(\d{4}-\d{2}-\d{2})", 1), F.lit("")).alias("day"))
-    tags = rows.select("key", F.explode("tags").alias("tag"))
-    rare = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") < most))
-    tags = tags.join(rare.select("tag"), "tag", "left_semi")
-    pair = lambda df, by: df.withColumnRenamed("key", "a").join(df.withColumnRenamed("key", "b"), by).where(F.col("a") != F.col("b"))
-    common = pair(tags, "tag").groupBy("a", "b").agg(F.count(F.lit(1)).alias("points")).where(F.col("points") >= 2)
-    days = rows.select("key", "day").where(F.col("day").isNotNull())
-    crowded = days.groupBy("day").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < most)
-    same_day = pair(days.join(crowded.select("day"), "day", "left_semi"), "day").select("a", "b", F.lit(2).cast("long").alias("points"))
-    scores = common.unionByName(same_day).groupBy("a", "b").agg(F.sum("points").alias("points"))
-    end = lambda c: rows.select(F.col("key").alias(c), F.col("name").alias(f"{c}_name"), F.col("ord").alias(f"{c}_ord"), F.col("project").alias(f"{c}_project"))
-    full = scores.join(end("a"), "a").join(end("b"), "b").where(F.col("a_name") != F.col("b_name"))
-    score = F.col("points") + F.coalesce(F.col("a_project") == F.col("b_project"), F.lit(False)).cast("int")
-    kept = full.withColumn("score", score).where(F.col("score") >= 3)
-    place = F.row_number().over(Window.partitionBy("a").orderBy("b_ord", "b"))
-    return kept.withColumn("place", place).where(F.col("place") <= limit).select(F.col("a").alias("key"), F.col("b_name").alias("related"), "score", "place")
-
-
-def all_related_notes(notes: DataFrame, projects: dict[str, str], limit: int = 5, first: int = 1_024) -> DataFrame:
-    """related_notes over all tags and dates, however many notes hold them.
+    first `limit` in the order of notes. All tags and dates count, however many notes
+    hold them. A score of 3 needs common tags or a common date, so a common project
+    is looked up for such pairs alone.
 
     The notes are walked in their order, `first` and then twice as many at a time.
     A note that has its `limit` leaves the walk, and so does one that can't reach 3
@@ -142,33 +122,116 @@ def enrichment_plan(notes: DataFrame, projects: dict[str, str]) -> DataFrame:
     return notes.select("key", changes.alias("changes")).where(F.size("changes") > 0)
 
 
+def _field(name: str) -> Column:
+    """A frontmatter field as text; objects and lists don't count."""
+    text = F.get_json_object("frontmatter", f"$.{name}")
+    # a typed link, as [[active]], begins like a list but isn't one
+    many = text.startswith("{") | (text.startswith("[") & F.from_json(text, "array<string>").isNotNull())
+    return F.when(~many, text)
+
+
+def date_of_note() -> Column:
+    """yyyy-MM-dd of the frontmatter's date fields, else name, key or path. A field that
+    has just that form is taken as it is; else days that don't exist don't count."""
+    exact = lambda c: F.when(tx.strip(c).rlike(r"^\d{4}-\d{2}-\d{2}$"), tx.strip(c))
+    fields = [F.coalesce(exact(_field(f)), tx.typed_date(tx.strip(_field(f)))) for f in dims.INFERRED_DATE_FIELDS]
+    return F.coalesce(*fields, *[tx.typed_date(F.col(c)) for c in ("name", "key", "path")])
+
+
 def inferred_date(notes: DataFrame) -> DataFrame:
-    """(key, day) from the dates of the frontmatter, else name, else key; days that don't exist don't count."""
-    fields = [F.get_json_object("frontmatter", f"$.{f}") for f in ("event_date", "decided", "consumed", "created", "updated")]
-    return notes.select("key", F.coalesce(*[tx.iso_date(c) for c in [*fields, F.col("name"), F.col("key")]]).alias("day"))
+    """(key, day) by date_of_note."""
+    return notes.select("key", date_of_note().alias("day"))
+
+
+def _haystack(*more: Column) -> Column:
+    """What hints are looked up in: name, path, tags and the first headings, in lower case."""
+    none = F.array().cast("array<string>")
+    lists = [F.array_join(F.coalesce("tags", none), " "), F.array_join(F.slice(F.coalesce("headings", none), 1, 6), " ")]
+    return F.lower(F.concat_ws(" ", F.col("name"), F.col("path"), *lists, *[F.coalesce(c, F.lit("")) for c in more]))
+
+
+def _has(text: Column, words: list[str]) -> Column:
+    return F.greatest(F.lit(False), *[F.contains(text, F.lit(w)) for w in words])
+
+
+def source_kind() -> Column:
+    """What a source is: its field if that is known, else by hints in name, path, tags,
+    headings and addresses; null if nothing tells."""
+    own = tx.slug(F.coalesce(_field("source_type"), F.lit("")))
+    url, found = F.lower(F.coalesce(_field("url"), F.lit(""))), F.lower(F.coalesce(tx.first_url(F.col("body")), F.lit("")))
+    text = _haystack(url, found)
+    hinted = [F.when(_has(text, words), kind) for kind, words in dims.SOURCE_HINTS]
+    web = F.when(url.startswith("http") | found.startswith("http") | _has(text, dims.SOURCE_WEB_HINTS), "article")
+    folder = F.arrays_overlap(F.split(F.lower("path"), "/"), F.array(*map(F.lit, dims.SOURCE_NOTE_FOLDERS)))
+    return F.coalesce(F.when(own.isin(dims.ENUM_FIELDS["source_type"]), own), *hinted, web, F.when(_has(text, dims.SOURCE_NOTE_HINTS) | F.coalesce(folder, F.lit(False)), "note"))
+
+
+def tool_category() -> Column:
+    """A tool's category: its field if that is known, else by hints; null if nothing tells."""
+    own = tx.slug(F.coalesce(_field("category"), F.lit("")))
+    text = _haystack(_field("url"))
+    return F.coalesce(F.when(own.isin(dims.ENUM_FIELDS["category"]), own), *[F.when(_has(text, words), kind) for kind, words in dims.TOOL_HINTS], F.lit(None))
+
+
+def _filled(name: str, value: Column) -> Column:
+    """A field that is typed, else the value."""
+    own = _field(name)
+    return F.when(tx.present(F.get_json_object("frontmatter", f"$.{name}")), own).otherwise(value)
 
 
 def normal_metadata(notes: DataFrame) -> DataFrame:
-    """(key, type, status, changes): canonical type and status, and what was changed."""
-    raw_type, raw_status = (F.get_json_object("frontmatter", f"$.{f}") for f in ("type", "status"))
-    aliases = F.create_map(*[F.lit(x) for kv in dims.TYPE_ALIASES.items() for x in kv])
-    kind = F.coalesce(aliases[F.lower(tx.strip(raw_type))], F.lower(tx.strip(raw_type)))
-    status = F.lower(tx.strip(raw_status))
-    changed = lambda new, old, f: F.when(new != old, F.concat(F.lit(f + ": "), old, F.lit(" -> "), new))
-    return notes.select("key", kind.alias("type"), status.alias("status"), F.array_compact(F.array(changed(kind, raw_type, "type"), changed(status, raw_status, "status"))).alias("changes"))
+    """(key, type, status, confidence, event_date, decided, chosen, rationale, url,
+    source_type, category): the fields of a note after normalisation. Types and statuses
+    go by their aliases; a number as confidence becomes high, medium or low; a missing
+    type is inferred, except for a blank note, and what a note of that type should have
+    is taken from dates, labelled lines, addresses and hints. Fields that belong to no
+    type of the note come out as typed; null where there is none."""
+    raw = F.get_json_object("frontmatter", "$.type")
+    low = F.lower(tx.strip(raw))
+    alias = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    usual = F.coalesce(alias(dims.TYPE_ALIASES)[low], low)
+    inferred = graph.entity_type()
+    backfill = F.when((inferred != "note") | tx.present(F.col("body")), inferred)
+    kind = F.when(~tx.present(raw), backfill).when(usual.isin(dims.CORE_TYPES), usual).otherwise(F.coalesce(alias(dims.EXTRA_TYPE_ALIASES)[low], raw))
+    typed_status = F.get_json_object("frontmatter", "$.status")  # a list of one status counts as well
+    status_key = tx.slug(typed_status)
+    status = F.coalesce(alias(dims.STATUS_ALIASES)[status_key], status_key)
+    status = F.when(status.isin(dims.ENUM_FIELDS["status"]) & (status != F.lower(tx.strip(typed_status))), status).otherwise(typed_status)
+    number = F.expr("try_cast(trim(get_json_object(frontmatter, '$.confidence')) AS double)")
+    level = F.when(number >= 0.75, "high").when(number >= 0.4, "medium").otherwise("low")
+    confidence = F.when(number.isNotNull() & ~F.isnan(number), level).otherwise(_field("confidence"))
+    rows = notes.select(
+        "key", kind.alias("type"), status.alias("status"), confidence.alias("confidence"), F.coalesce(kind, inferred).alias("meant"),
+        _field("event_date").alias("event_date"), _filled("event_date", date_of_note()).alias("event_date_"),
+        _field("decided").alias("decided"), _filled("decided", date_of_note()).alias("decided_"),
+        _field("chosen").alias("chosen"), _filled("chosen", tx.labelled_value(F.col("body"), dims.CHOSEN_PREFIXES)).alias("chosen_"),
+        _field("rationale").alias("rationale"), _filled("rationale", tx.labelled_value(F.col("body"), dims.RATIONALE_PREFIXES)).alias("rationale_"),
+        _field("url").alias("url"), _filled("url", tx.first_url(F.col("body"))).alias("url_"),
+        (tx.present(F.get_json_object("frontmatter", "$.used_in")) | tx.present(F.get_json_object("frontmatter", "$.alternatives"))).alias("placed"),
+        _field("source_type").alias("source_type"), F.coalesce(source_kind(), _field("source_type")).alias("source_type_"),
+        _field("category").alias("category"), F.coalesce(tool_category(), _field("category")).alias("category_"),
+    )
+    of = lambda name, when: F.when(when, F.col(name + "_")).otherwise(F.col(name)).alias(name)
+    is_ = lambda t: F.coalesce(F.col("meant") == t, F.lit(False))
+    return rows.select(
+        "key", "type", "status", "confidence", of("event_date", is_("event")), of("decided", is_("decision")), of("chosen", is_("decision")), of("rationale", is_("decision")),
+        of("url", is_("source") | (is_("tool") & ~F.col("placed"))), of("source_type", is_("source")), of("category", is_("tool")),
+    )
 
 
 def unknown_kind(name: Column) -> Column:
-    """A type for a node without one, by its name alone."""
+    """A type for a node without one, by its name alone: extension, date, folder, words."""
     low = F.lower(name)
     image = F.greatest(F.lit(False), *[low.endswith(e) for e in dims.IMAGE_EXTENSIONS])
+    extension = F.coalesce(*[F.when(low.endswith(e), t) for e, t in dims.EXTENSION_TYPES.items()])
     folder = (
         F.when(F.contains(low, F.lit("resource")) | F.contains(low, F.lit("03.")), "source")
         .when(F.contains(low, F.lit("project")) | F.contains(low, F.lit("01.")), "project")
         .when(F.contains(low, F.lit("daily")) | F.contains(low, F.lit("00.")), "event")
         .when(F.contains(low, F.lit("archive")) | F.contains(low, F.lit("04.")), "note")
     )
-    return F.when(image, "media").when(name.rlike(r"\d{4}-\d{2}-\d{2}"), "event").otherwise(F.coalesce(folder, F.lit("note")))
+    words = F.coalesce(*[F.when(_has(low, ws), t) for ws, t in dims.UNKNOWN_KEYWORDS])
+    return F.coalesce(F.when(image, "media"), extension, F.when(name.rlike(r"\d{4}-\d{2}-\d{2}"), "event"), folder, words, F.lit("note"))
 
 
 def is_garbage(name: Column, is_dangling: Column) -> Column:

@@ -144,24 +144,29 @@ def graph_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.join(nodes.select("name", "entity_type", "source_path"), "name", "left").withColumn("is_dangling", F.col("source_path").isNull())
 
 
-def classify_notes(notes: DataFrame) -> DataFrame:
-    """(key, entity_type): the explicit type, else by name, by tags, by folder, else note."""
+def classify_notes(notes: DataFrame, project_tags: tuple[str, ...] = ()) -> DataFrame:
+    """(key, entity_type): the explicit type, else by name, by tags, by folder, else note.
+    project_tags are tags that name projects of the vault."""
+    return notes.select("key", entity_type(project_tags).alias("entity_type"))
+
+
+def entity_type(project_tags: tuple[str, ...] = ()) -> Column:
+    """The expression of classify_notes over a notes table."""
     raw = F.lower(tx.strip(F.get_json_object("frontmatter", "$.type")))
     aliases = F.create_map(*[F.lit(x) for kv in dims.TYPE_ALIASES.items() for x in kv])
     typed = F.coalesce(aliases[raw], raw)
     tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.lower)
     scores = F.array(*[
-        F.struct(F.size(F.array_intersect(F.array_distinct(tags), F.array(*map(F.lit, words)))).alias("score"), F.lit(-i).alias("rank"), F.lit(t).alias("type"))
+        F.struct(F.size(F.array_intersect(F.array_distinct(tags), F.array(*map(F.lit, [*words, *(project_tags if t == "project" else ())])))).alias("score"), F.lit(-i).alias("rank"), F.lit(t).alias("type"))
         for i, (t, words) in enumerate(dims.TAG_TYPES.items())
     ])
     best = F.array_max(scores)
     folders = F.create_map(*[F.lit(x) for kv in dims.FOLDER_TYPES.items() for x in kv])
     parts = F.filter(F.transform(F.split("path", "/"), lambda p: folders[p]), lambda t: t.isNotNull())
-    kind = F.coalesce(
+    return F.coalesce(
         F.when(typed.isin(dims.CORE_TYPES), typed), tx.first_rule(F.col("name"), dims.NAME_TYPES),
         F.when(best["score"] > 0, best["type"]), F.try_element_at(parts, F.lit(1)), F.lit("note"),
     )
-    return notes.select("key", kind.alias("entity_type"))
 
 
 def name_equals(c: Column, value: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from notegrid import dims
 from notegrid.functions import text as tx
 from notegrid.functions import vectors as vx
-from notegrid.operators import analytics
+from notegrid.operators import analytics, graph
 
 
 def keyword_search(docs: DataFrame, query: str, top_k: int | None = 20) -> DataFrame:
@@ -82,8 +82,17 @@ def context_prompt(context: DataFrame, docs: DataFrame, budget: int = 12_000) ->
     return rows.withColumn("used", used).where(budget - F.col("used") > 200).select("place", "name", "text")
 
 
-def embedding_text(notes: DataFrame, max_chars: int = 2_000) -> DataFrame:
-    """(key, text) to embed: title, tags, type and text, cut to max_chars."""
+def embedding_text(notes: DataFrame, segments: tuple[str, ...] = (), max_chars: int = 2_000) -> DataFrame:
+    """(key, text) to embed: title, the first of the vault's project `segments` in the
+    path, tags, the typed type (the inferred one where the field is missing) and the
+    stripped text, cut to max_chars. Null values leave their line out."""
     tags = F.array_join(F.coalesce("tags", F.array().cast("array<string>")), ", ")
-    parts = [F.concat(F.lit("title: "), F.col("name")), F.when(tags != "", F.concat(F.lit("tags: "), tags)), F.concat(F.lit("type: "), F.get_json_object("frontmatter", "$.type")), F.col("body")]
+    typed = F.coalesce(F.array_contains(F.json_object_keys("frontmatter"), "type"), F.lit(False))
+    kind = F.nullif(F.when(typed, F.get_json_object("frontmatter", "$.type")).otherwise(graph.entity_type()), F.lit(""))
+    project = F.coalesce(*[F.when(F.contains("path", F.lit(s)), s) for s in segments], F.lit(None))
+    has_tags = F.size(F.coalesce("tags", F.array().cast("array<string>"))) > 0
+    parts = [
+        F.concat(F.lit("# "), F.col("name")), F.concat(F.lit("Project: "), project), F.when(has_tags, F.concat(F.lit("Tags: "), tags)),
+        F.concat(F.lit("Type: "), kind), tx.strip(F.coalesce("body", F.lit(""))),
+    ]
     return notes.select("key", F.substring(F.concat_ws("\n", *parts), 1, max_chars).alias("text"))

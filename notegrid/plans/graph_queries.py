@@ -75,20 +75,6 @@ def jn10_missing_backlinks(v):
     return enrich.missing_backlinks(v.current())
 
 
-@book.query(f"""{with_('cur')}, r AS (SELECT key, name, ord, list_distinct(coalesce(tags, [])) AS tags, nullif(regexp_extract(name, '^(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), '') AS day,
-      coalesce(CASE WHEN contains(path, 'Harbor') OR contains(name, 'Harbor') THEN 'Harbor' END, CASE WHEN contains(path, 'Loom') OR contains(name, 'Loom') THEN 'Loom' END,
-      list_filter(list_transform(coalesce(cur.tags, []), lambda t: CASE WHEN contains(lower(t), 'harbor') THEN 'Harbor' WHEN contains(lower(t), 'loom') THEN 'Loom' END), lambda x: x IS NOT NULL)[1]) AS project FROM cur),
-    t AS (SELECT key, unnest(tags) AS tag FROM r), rare AS (SELECT tag FROM t GROUP BY tag HAVING count(*) > 1 AND count(*) < 100), k AS (SELECT * FROM t WHERE tag IN (SELECT tag FROM rare)),
-    c AS (SELECT a.key AS a, b.key AS b, count(*) AS p FROM k a JOIN k b ON a.tag = b.tag AND a.key <> b.key GROUP BY 1, 2 HAVING count(*) >= 2),
-    d AS (SELECT day FROM r WHERE day IS NOT NULL GROUP BY day HAVING count(*) < 100),
-    s AS (SELECT a, b, sum(p) AS p FROM (SELECT * FROM c UNION ALL SELECT a.key, b.key, 2 FROM r a JOIN r b ON a.day = b.day AND a.key <> b.key WHERE a.day IN (SELECT day FROM d)) GROUP BY 1, 2),
-    f AS (SELECT s.a, y.name AS related, y.ord, y.key, CAST(p + CASE WHEN x.project = y.project THEN 1 ELSE 0 END AS BIGINT) AS score FROM s JOIN r x ON x.key = s.a JOIN r y ON y.key = s.b WHERE x.name <> y.name)
-    SELECT a AS key, related, score, CAST(row_number() OVER (PARTITION BY a ORDER BY ord, key) AS INT) AS place FROM f WHERE score >= 3 QUALIFY row_number() OVER (PARTITION BY a ORDER BY ord, key) <= 5""")
-def jn9_related_notes(v):
-    rows = enrich.related_notes(v.current(), {"Harbor": "Harbor", "Loom": "Loom"})
-    return rows.select("key", "related", F.col("score").cast("long").alias("score"), "place")
-
-
 @book.query(f"""{with_('cur')}, r AS (SELECT key, name, ord, list_distinct(coalesce(tags, [])) AS tags, nullif(regexp_extract(name, '^(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), '') AS day,
       coalesce(CASE WHEN contains(path, 'Harbor') OR contains(name, 'Harbor') THEN 'Harbor' END, CASE WHEN contains(path, 'Loom') OR contains(name, 'Loom') THEN 'Loom' END,
       list_filter(list_transform(coalesce(cur.tags, []), lambda t: CASE WHEN contains(lower(t), 'harbor') THEN 'Harbor' WHEN contains(lower(t), 'loom') THEN 'Loom' END), lambda x: x IS NOT NULL)[1]) AS project FROM cur),
@@ -97,9 +83,8 @@ def jn9_related_notes(v):
     s AS (SELECT a, b, sum(p) AS p FROM (SELECT * FROM c UNION ALL SELECT a.key, b.key, 2 FROM r a JOIN r b ON a.day = b.day AND a.key <> b.key) GROUP BY 1, 2),
     f AS (SELECT s.a, y.name AS related, y.ord, y.key, CAST(p + CASE WHEN x.project = y.project THEN 1 ELSE 0 END AS BIGINT) AS score FROM s JOIN r x ON x.key = s.a JOIN r y ON y.key = s.b WHERE x.name <> y.name)
     SELECT a AS key, related, score, CAST(row_number() OVER (PARTITION BY a ORDER BY ord, key) AS INT) AS place FROM f WHERE score >= 3 QUALIFY row_number() OVER (PARTITION BY a ORDER BY ord, key) <= 5""")
-def jn9_all_related_notes(v):
-    """The whole result; jn9_related_notes leaves out tags and dates of 100 notes or more, as its SQL does."""
-    rows = enrich.all_related_notes(v.current(), {"Harbor": "Harbor", "Loom": "Loom"})
+def jn9_related_notes(v):
+    rows = enrich.related_notes(v.current(), {"Harbor": "Harbor", "Loom": "Loom"})
     return rows.select("key", "related", F.col("score").cast("long").alias("score"), "place")
 
 
@@ -179,7 +164,8 @@ def ga1_top_hubs(v):
     return analytics.degrees(v.edges()).select("node", "degree").orderBy(F.desc("degree"), "node").limit(10)
 
 
-def _pagerank_sql(k: int) -> str:
+def pagerank_ctes(k: int) -> str:
+    """CTEs of k steps of PageRank over kg and gn; the last one is r{k}."""
     steps = ["r0 AS MATERIALIZED (SELECT name, 1.0::DOUBLE / (SELECT count(*) FROM gn) AS rank FROM gn)"]
     for i in range(1, k + 1):
         p = f"r{i - 1}"
@@ -187,41 +173,39 @@ def _pagerank_sql(k: int) -> str:
           + (SELECT coalesce(sum(rank), 0) FROM {p} WHERE name NOT IN (SELECT src FROM o)) / (SELECT count(*) FROM gn)) AS rank
           FROM gn g LEFT JOIN (SELECT s.dst AS name, sum({p}.rank * s.share) AS got FROM s JOIN {p} ON {p}.name = s.src GROUP BY 1) c ON c.name = g.name)""")
     o = "o AS MATERIALIZED (SELECT src, sum(coalesce(weight, 1)) AS total FROM kg GROUP BY 1 HAVING sum(coalesce(weight, 1)) > 0), s AS MATERIALIZED (SELECT kg.src, dst, coalesce(weight, 1) / total AS share FROM kg JOIN o ON o.src = kg.src)"
-    return f"{with_('kg', 'live', 'gn', more=', '.join([o, *steps]))} SELECT name, round(rank, 9) AS rank FROM r{k}"
+    return ", ".join([o, *steps])
 
 
-@book.query(_pagerank_sql(5))
+@book.query(f"{with_('kg', 'live', 'gn', more=pagerank_ctes(5))} SELECT name, round(rank, 9) AS rank FROM r5")
 def ga2_pagerank(v):
     e = v.edges()
     ranks = analytics.pagerank(e, graph.graph_nodes(v.live(), e).select("name"), iterations=5, tolerance=None)
     return ranks.select("name", F.round("rank", 9).alias("rank"))
 
 
-def _components_sql(types: str, rounds: int = 14) -> str:
-    steps = ["c0 AS MATERIALIZED (SELECT DISTINCT a AS name, a AS c FROM u)"]
+def _components_sql(rounds: int = 14) -> str:
+    """The least name within `rounds` edges of each node."""
+    steps = ["c0 AS MATERIALIZED (SELECT name, name AS c FROM gn)"]
     for i in range(1, rounds + 1):
-        steps.append(f"c{i} AS MATERIALIZED (SELECT x.name, least(min(x.c), min(y.c)) AS c FROM c{i - 1} x JOIN u ON u.a = x.name JOIN c{i - 1} y ON y.name = u.b GROUP BY x.name)")
-    return f"u AS MATERIALIZED (SELECT src AS a, dst AS b FROM kg WHERE type IN ({types}) UNION SELECT dst, src FROM kg WHERE type IN ({types})), " + ", ".join(steps)
-
+        steps.append(f"c{i} AS MATERIALIZED (SELECT x.name, least(min(x.c), coalesce(min(y.c), min(x.c))) AS c FROM c{i - 1} x LEFT JOIN u ON u.a = x.name LEFT JOIN c{i - 1} y ON y.name = u.b GROUP BY x.name)")
+    return "u AS MATERIALIZED (SELECT a, b FROM und), " + ", ".join(steps)
 
-_DEPS = ", ".join(f"'{t}'" for t in ("contradicts", "alternatives", "decisions"))
 
-
-def _dep_components(v):
-    e = v.edges().where(F.col("type").isin("contradicts", "alternatives", "decisions"))
-    return analytics.components(e, e.select(F.explode(F.array("src", "dst")).alias("name")).distinct())
+def _components(v):
+    e = v.edges()
+    return analytics.components(e, graph.graph_nodes(v.live(), e).select("name"))
 
 
-@book.query(f"{with_('kg', more=_components_sql(_DEPS))} SELECT name, c AS component FROM c14")
+@book.query(f"{with_('kg', 'live', 'gn', 'und', more=_components_sql())} SELECT name, c AS component FROM c14")
 def ga3_components(v):
-    return _dep_components(v)
+    return _components(v)
 
 
-@book.query(f"""{with_('kg', more=_components_sql(_DEPS))}, z AS (SELECT c, count(*) AS size FROM c14 GROUP BY c)
+@book.query(f"""{with_('kg', 'live', 'gn', 'und', more=_components_sql())}, z AS (SELECT c, count(*) AS size FROM c14 GROUP BY c)
     SELECT CASE WHEN size <= 2 THEN size::VARCHAR WHEN size <= 5 THEN '3-5' WHEN size <= 10 THEN '6-10' WHEN size <= 50 THEN '11-50' WHEN size <= 100 THEN '51-100' ELSE '100+' END AS bucket,
     count(*) AS n_components, sum(size)::BIGINT AS n_nodes FROM z GROUP BY 1""")
 def ag12_component_sizes(v):
-    return analytics.component_histogram(_dep_components(v))
+    return analytics.component_histogram(_components(v))
 
 
 _HOPS = f"""d0 AS (SELECT center AS name FROM centers), d1 AS (SELECT DISTINCT b AS name FROM und JOIN d0 ON a = name EXCEPT SELECT name FROM d0),
@@ -280,21 +264,6 @@ def ga2_settled_pagerank(v):
     return analytics.pagerank(e, graph.graph_nodes(v.live(), e).select("name"))
 
 
-def _all_components(v):
-    e = v.edges()
-    return analytics.components(e, graph.graph_nodes(v.live(), e).select("name"))
-
-
-@book.query()
-def ga3_all_components(v):
-    return _all_components(v)
-
-
-@book.query()
-def ag12_all_component_sizes(v):
-    return analytics.component_histogram(_all_components(v))
-
-
 @book.query()
 def ga7_all_simple_paths(v):
     return analytics.simple_paths(v.edges(), "Tool Shelf", "Open Questions")

@@ -9,7 +9,8 @@ from notegrid import dims
 from notegrid.functions import text as tx
 from notegrid.operators import analytics, enrich, graph, retrieve
 from notegrid.plans.book import Book, with_
-from notegrid.plans.service_queries import QUESTION, _hybrid, weighted_ranks
+from notegrid.plans.graph_queries import pagerank_ctes
+from notegrid.plans.service_queries import QUESTION, RANK_STEPS, _hybrid, stepped_ranks, weighted_ranks
 from notegrid.plans.text_queries import PROJECTS, TOPICS
 
 book = Book()
@@ -73,17 +74,17 @@ def rk8_integrated_search(v):
     return memory.unionByName(vault.withColumn("low", F.lower("name")).join(seen, "low", "left_anti").drop("low"))
 
 
-@book.query(f"""{with_('kg')}, d AS (SELECT name, count(*) AS degree FROM (SELECT src AS name FROM kg UNION ALL SELECT dst FROM kg) GROUP BY 1), top AS (SELECT name FROM d ORDER BY degree DESC, name LIMIT 200)
+@book.query(f"""{with_('kg', 'live', 'gn', more=pagerank_ctes(RANK_STEPS))}, top AS (SELECT name FROM r{RANK_STEPS} ORDER BY round(rank, 12) DESC, name LIMIT 200)
     SELECT src, dst, type, weight FROM kg WHERE src IN (SELECT name FROM top) AND dst IN (SELECT name FROM top)""")
 def so13_densest_view(v):
-    e = v.edges()
-    top = analytics.degrees(e).orderBy(F.desc("degree"), "node").limit(200).select(F.col("node").alias("name"))
-    return analytics.induced_edges(e, top).select("src", "dst", "type", "weight")
+    """Edges among the nodes of the highest rank, after a fixed number of steps; so13_pagerank_view goes on until ranks settle."""
+    top = stepped_ranks(v).orderBy(F.desc(F.round("rank", 12)), "name").limit(200)
+    return analytics.induced_edges(v.edges(), top).select("src", "dst", "type", "weight")
 
 
 @book.query()
 def so13_pagerank_view(v):
-    """The reference's view; so13_densest_view takes the nodes of the highest degree, as its SQL does."""
+    """so13_densest_view with ranks of up to 100 steps, until they settle."""
     top = weighted_ranks(v).orderBy(F.desc("rank"), "name").limit(200)
     return analytics.induced_edges(v.edges(), top).select("src", "dst", "type", "weight")
 

@@ -8,6 +8,7 @@ from notegrid import dims
 from notegrid.functions import text as tx
 from notegrid.operators import analytics, graph, retrieve, score, state, validate
 from notegrid.plans.book import Book, with_
+from notegrid.plans.graph_queries import pagerank_ctes
 from notegrid.streaming import incremental
 
 book = Book()
@@ -58,26 +59,29 @@ def en11_batch_search(v):
     return retrieve.batch_vector_search(e, queries).select("query_id", "key", F.round("score", 9).alias("score"))
 
 
+#: Steps of PageRank in queries that have SQL.
+RANK_STEPS = 12
 _BY_NAME = "named AS (SELECT name AS key, name, body, tags FROM cur QUALIFY row_number() OVER (PARTITION BY name ORDER BY ord) = 1)"
 _HYBRID = ", ".join([
     _BY_NAME, _keyword_sql("named"),
     f"nv AS (SELECT node_name AS key, {_COS.format(e='embedding')} AS score FROM (SELECT * FROM knowledge_embeddings WHERE model = 'atlas-embed-96' AND len(embedding) = (SELECT len(embedding) FROM knowledge_embeddings WHERE id = 1) QUALIFY row_number() OVER (PARTITION BY node_name ORDER BY id DESC) = 1))",
-    "d AS (SELECT name, count(*)::DOUBLE AS rank FROM (SELECT src AS name FROM kg UNION ALL SELECT dst FROM kg) GROUP BY 1)",
+    f"{pagerank_ctes(RANK_STEPS)}, d AS (SELECT * FROM r{RANK_STEPS})",
     "k AS MATERIALIZED (SELECT key, score AS k FROM kw WHERE score > 0 ORDER BY score DESC, key LIMIT 30)", "w AS MATERIALIZED (SELECT * FROM (SELECT key, score AS v FROM nv ORDER BY score DESC, key LIMIT 30) WHERE v >= 0)",
     """f AS (SELECT coalesce(k.key, w.key) AS key, coalesce(coalesce(k, 0) / (SELECT max(k) FROM k), 0) AS keyword_score, coalesce(coalesce(v, 0) / nullif((SELECT max(v) FROM w), 0), 0) AS vector_score FROM k FULL JOIN w ON k.key = w.key),
     g AS (SELECT f.*, coalesce(d.rank, 0) / (SELECT max(rank) FROM d) AS graph_score FROM f LEFT JOIN d ON d.name = f.key)""",
 ])
 
 
-@book.query(f"""{with_('cur', 'kg', more=_HYBRID)} SELECT key, round(0.5::DOUBLE * keyword_score + 0.3::DOUBLE * vector_score + 0.2::DOUBLE * graph_score, 9) AS score FROM g
+@book.query(f"""{with_('cur', 'kg', 'live', 'gn', more=_HYBRID)} SELECT key, round(0.5::DOUBLE * keyword_score + 0.3::DOUBLE * vector_score + 0.2::DOUBLE * graph_score, 9) AS score FROM g
     WHERE NOT starts_with(lower(key), 'untitled') ORDER BY 0.5::DOUBLE * keyword_score + 0.3::DOUBLE * vector_score + 0.2::DOUBLE * graph_score DESC, key LIMIT 10""")
 def rk2_hybrid_search(v):
-    return _hybrid(v, _degree_ranks(v)).select("key", F.round("score", 9).alias("score"))
+    """Ranks after a fixed number of steps, as SQL can say it; rk2_pagerank_search goes on until they settle."""
+    return _hybrid(v, stepped_ranks(v)).select("key", F.round("score", 9).alias("score"))
 
 
 @book.query()
 def rk2_pagerank_search(v):
-    """The reference's ranking; the graph part of rk2_hybrid_search is the degree, as in its SQL."""
+    """Ranks of up to 100 steps, until they settle."""
     return _hybrid(v, weighted_ranks(v)).select("key", F.round("score", 9).alias("score"))
 
 
@@ -87,8 +91,10 @@ def weighted_ranks(v):
     return analytics.pagerank(e, graph.graph_nodes(v.live(), e).select("name"))
 
 
-def _degree_ranks(v):
-    return analytics.degrees(v.edges()).select(F.col("node").alias("name"), F.col("degree").cast("double").alias("rank"))
+def stepped_ranks(v):
+    """weighted_ranks after RANK_STEPS steps."""
+    e = v.edges()
+    return analytics.pagerank(e, graph.graph_nodes(v.live(), e).select("name"), iterations=RANK_STEPS, tolerance=None)
 
 
 def _hybrid(v, ranks):

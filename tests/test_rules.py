@@ -19,9 +19,11 @@ def test_text_functions(spark):
     lit = F.lit
     assert value(spark, tx.normal_ref(lit("A\\\\b//C%20d+e.MD"))) == "a/b/c d+e"
     assert value(spark, tx.normal_ref(lit("50% of"))) == "50% of"
-    assert value(spark, tx.slug(lit("Hello, 세계!  x"))) == "hello-세계-x"
+    assert value(spark, tx.slug(lit(" Hello, 세계!  C++ x-y "))) == "hello-c++-x-y"
     assert value(spark, tx.unwrap_link(lit(" [[a#h|b]] "))) == "a" and value(spark, tx.unwrap_link(lit("a [[b]]"))) == "a [[b]]"
-    assert str(value(spark, tx.iso_date(lit("x 2026-03_14_Review")))) == "2026-03-14" and value(spark, tx.iso_date(lit("2026-02-31"))) is None
+    days = {"x 2026-03_14_Review": "2026-03-14", "2026-02-31": None, "a20260314b": "2026-03-14", "120260314": None, "1999-01-01": None, "2026-13-01 20260102": "2026-01-02"}
+    assert {d: value(spark, tx.typed_date(lit(d))) for d in days} == days
+    assert value(spark, tx.labelled_value(lit("a\r\n  Chosen: - the one:\nselected: x"), ["chosen:", "selected:"])) == "the one"
     assert value(spark, tx.first_url(lit("see https://www.a.b/c?x=1."))) == "https://www.a.b/c?x=1" and value(spark, tx.domain(lit("https://www.a.b/c"))) == "a.b"
     assert value(spark, tx.body_text(lit("---\na: 1\n---\nbody"))) == "body" and value(spark, tx.body_text(lit("---\na: 1\n---x"))) == "x"
     assert value(spark, tx.body_text(lit("no front"))) == "no front" and value(spark, tx.wiki_links(lit("[[b]] [[a#x|y]] [[b]] [[ ]]"))) == ["b", "a"]
@@ -151,5 +153,34 @@ def test_related_by_frequent_tags_and_days(spark, rows):
     notes = spark.createDataFrame(data, "key string, name string, path string, ord long, tags array<string>")
     want = [("d1", f"2024-01-05 n{i}", 3, i + 1) for i in range(5)] + [("n3", f"2024-01-05 n{i}", 6, p) for p, i in enumerate((0, 1, 2, 4, 5), 1)]
     for first in (2, 1_024):
-        got = enrich.all_related_notes(notes, {"Harbor": "H"}, first=first)
+        got = enrich.related_notes(notes, {"Harbor": "H"}, first=first)
         assert rows(got.where("key IN ('d1', 'n3', 'q')"), "key", "related", "score", "place") == want
+
+
+def test_metadata_is_normalised(spark):
+    """What a note of its type should have is filled in; typed values stay."""
+    schema = "key string, name string, path string, body string, frontmatter string, tags array<string>, headings array<string>, type string"
+    data = [
+        ("explicit", "Tool config Setup", "a/Setup.md", "text", '{"type": "note"}', None, None, "clash"),
+        ("source", "Paper clip", "a/s.md", "see https://example.invalid/x).", '{"type": "Reference", "url": ""}', ["web"], None, ""),
+        ("article", "Words", "a/w.md", "see https://example.invalid/x.", '{"type": "newsletter"}', None, None, ""),
+        ("event", "2026-03_14_Review", "a/e.md", "", '{"type": "meeting", "status": "Done"}', None, None, ""),
+        ("tool", "docker", "a/t.md", "https://example.invalid/d", '{"type": "tool", "confidence": "0.5"}', None, None, ""),
+        ("decision", "Choice", "a/d.md", "Chosen: left\nBecause: near", '{"type": "decision", "decided": "2026-01-02", "confidence": "sure"}', None, None, ""),
+        ("plain", "Anything", "a/p.md", "words", "{}", None, None, ""),
+        ("blank", "Anything", "a/b.md", " ", None, None, None, ""),
+        ("odd", "Anything", "a/o.md", None, '{"type": "thing", "status": ["active"]}', None, None, ""),
+    ]
+    got = {r.key: {c: v for c, v in r.asDict().items() if v is not None and c != "key"} for r in enrich.normal_metadata(spark.createDataFrame(data, schema)).collect()}
+    assert got == {
+        "explicit": {"type": "note"},
+        "source": {"type": "source", "url": "https://example.invalid/x", "source_type": "paper"},
+        "article": {"type": "source", "url": "https://example.invalid/x", "source_type": "article"},
+        "event": {"type": "event", "status": "completed", "event_date": "2026-03-14"},
+        "tool": {"type": "tool", "confidence": "medium", "url": "https://example.invalid/d", "category": "platform"},
+        "decision": {"type": "decision", "confidence": "sure", "decided": "2026-01-02", "chosen": "left", "rationale": "near"},
+        "plain": {"type": "note"},
+        "blank": {},
+        "odd": {"type": "thing", "status": "active"},
+    }
+    assert enrich.normal_metadata(spark.createDataFrame([], schema)).collect() == []
