@@ -95,8 +95,9 @@ def so13_pagerank_view(v):
 def px24_scaled_layout(v):
     """Two measures of a node scaled to 0..1000; a range of zero counts as one."""
     d = analytics.degrees(v.edges()).select(F.col("node").alias("name"), F.col("out_degree").alias("x"), F.col("in_degree").alias("y"))
-    bound = {f"{c}{i}": d.agg(f(c).alias("b")).select("b").scalar() for c in "xy" for i, f in enumerate((F.min, F.max))}
-    scale = lambda c: 1000.0 * (F.col(c) - bound[c + "0"]) / F.when(bound[c + "1"] == bound[c + "0"], 1).otherwise(bound[c + "1"] - bound[c + "0"])
+    bounds = d.agg(F.struct(*[f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))]).alias("b")).select("b").scalar()
+    d = d.withColumn("b", bounds)  # one pass for all four
+    scale = lambda c: 1000.0 * (F.col(c) - F.col(f"b.{c}0")) / F.when(F.col(f"b.{c}1") == F.col(f"b.{c}0"), 1).otherwise(F.col(f"b.{c}1") - F.col(f"b.{c}0"))
     return d.select("name", scale("x").alias("px"), scale("y").alias("py"))
 
 
