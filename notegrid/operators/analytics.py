@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from notegrid.tables import cut_lineage
 
+#: The ways back between two nodes that meet the ways ahead in one task are about so many at most.
+CYCLE_BLOCK = 256
+
 
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, degree, in_degree, out_degree); an edge to oneself counts twice."""
@@ -123,17 +126,64 @@ def simple_paths(edges: DataFrame, source: str, target: str, max_edges: int = 4)
     return found
 
 
+def cyclic_links(links: DataFrame) -> DataFrame:
+    """(type, src, dst) links without most of those that lie on no cycle of their type:
+    a link from a node that none points at, or to one that points at none, is taken
+    out, until a round takes out less than a tenth of them."""
+    n = links.count()
+    while n:
+        begins, ends = links.select("type", F.col("dst").alias("src")).distinct(), links.select("type", F.col("src").alias("dst")).distinct()
+        links = cut_lineage(links.join(begins, ["type", "src"], "left_semi").join(ends, ["type", "dst"], "left_semi"))
+        before, n = n, links.count()
+        if n > 0.9 * before:
+            break
+    return links
+
+
+def _closed(ahead: DataFrame, back: DataFrame) -> DataFrame:
+    """(type, path) of every way ahead and way back with the same ends and no other
+    node in common. The ways back between two nodes are cut into blocks by a hash, so
+    that the cycles through two hubs are spread over tasks."""
+    keys = ["type", "top", "at"]
+    size = F.ceil(F.count(F.lit(1)) / CYCLE_BLOCK)
+    tasks = int(ahead.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ahead = ahead.join(back.groupBy(keys).agg(size.alias("blocks")), keys).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    back = back.withColumn("blocks", F.ceil(F.count(F.lit(1)).over(Window.partitionBy(*keys)) / CYCLE_BLOCK))
+    back = back.select(*keys, F.pmod(F.xxhash64("path"), "blocks").alias("block"), F.col("path").alias("rest"))
+    both = ahead.repartition(tasks, *keys, "block").join(back.repartition(tasks, *keys, "block"), [*keys, "block"])
+    return both.where(~F.arrays_overlap("path", "rest")).select("type", F.concat("path", "rest").alias("path"))
+
+
 def cycles(edges: DataFrame, relations: list[str], max_length: int = 4) -> DataFrame:
-    """(type, cycle, length): elementary cycles of one relation, from their least node on."""
-    kept = edges.where(F.col("type").isin(relations)).select("type", "src", "dst").distinct()
-    paths = kept.where(F.col("src") < F.col("dst")).select("type", F.col("dst").alias("at"), F.array("src", "dst").alias("path"))
-    step = kept.select("type", F.col("src").alias("at"), F.col("dst").alias("to"))
-    loops = kept.where(F.col("src") == F.col("dst")).select("type", F.array("src").alias("cycle"), F.lit(1).alias("length"))
+    """(type, cycle, length): elementary cycles of one relation, from their least node on.
+
+    A cycle is put together at its node of the highest degree, of a way ahead and a way
+    back of half its length through nodes of lower degree. So a hub's edges don't meet
+    each other: m edges have some m * sqrt(m) ways of two edges at most.
+    """
+    kept = cut_lineage(edges.where(F.col("type").isin(relations)).select("type", "src", "dst").distinct())
+    found = kept.where(F.col("src") == F.col("dst")).select("type", F.array("src").alias("cycle"), F.lit(1).alias("length"))
+    if max_length < 2:
+        return found
+    links = cyclic_links(kept.where(F.col("src") != F.col("dst")))
+    degree = links.select("type", F.explode(F.array("src", "dst")).alias("name")).groupBy("type", "name").agg(F.count(F.lit(1)).alias("degree"))
+    for end, rank in (("src", "a"), ("dst", "b")):  # nodes in the order of degrees, then names
+        ranked = degree.select("type", F.col("name").alias(end), F.struct("degree", "name").alias(rank))
+        links = links.join(ranked, ["type", end])
+    links = cut_lineage(links.select("type", "a", "b"))
+    ahead = links.where(F.col("b") < F.col("a")).select("type", F.col("a").alias("top"), F.col("b").alias("at"), F.array("a.name", "b.name").alias("path"))
+    back = links.where(F.col("a") < F.col("b")).select("type", F.col("b").alias("top"), F.col("a").alias("at"), F.array().cast("array<string>").alias("path"))
     for n in range(2, max_length + 1):
-        longer = paths.join(step, ["type", "at"])
-        loops = loops.unionByName(longer.where(F.col("to") == F.col("path")[0]).select("type", F.col("path").alias("cycle"), F.lit(n).alias("length")))
-        paths = longer.where((F.col("to") > F.col("path")[0]) & ~F.array_contains("path", F.col("to"))).select("type", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
-    return loops
+        if n > 2 and n % 2:
+            longer = ahead.join(links.withColumnRenamed("a", "at"), ["type", "at"]).where((F.col("b") < F.col("top")) & ~F.array_contains("path", F.col("b.name")))
+            ahead = longer.select("type", "top", F.col("b").alias("at"), F.concat("path", F.array("b.name")).alias("path"))
+        elif n > 2:
+            longer = back.join(links.withColumnRenamed("b", "at"), ["type", "at"]).where((F.col("a") < F.col("top")) & ~F.array_contains("path", F.col("a.name")))
+            back = longer.select("type", "top", F.col("a").alias("at"), F.concat(F.array("at.name"), "path").alias("path"))
+        first = F.array_position("path", F.array_min("path")).cast("int")
+        turned = F.concat(F.slice("path", first, F.lit(n)), F.slice("path", F.lit(1), first - 1))
+        found = found.unionByName(_closed(ahead, back).select("type", turned.alias("cycle"), F.lit(n).alias("length")))
+    return found
 
 
 def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 5) -> DataFrame:

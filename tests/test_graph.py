@@ -89,6 +89,36 @@ def test_hops_paths_and_cycles(spark, rows):
     assert rows(analytics.cycles(g, ["uses"], 4)) == [("uses", ["a", "b", "c"], 3)]
 
 
+def shuffled(spark, run):
+    """The result of run() and the records that its stages wrote to shuffles, as on tables too large for broadcasts."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty(60_000)
+        listed = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {listed.apply(i).stageId(): listed.apply(i).shuffleWriteRecords() for i in range(listed.size())}
+
+    before = max(stages(), default=-1)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        result = run()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    return result, sum(n for i, n in stages().items() if i > before)
+
+
+def test_cycles_of_four_through_a_hub(spark, rows):
+    # every way into the hub closes one cycle, of the 400 * 400 pairs of ways in and out; two other hubs close 30 * 30
+    loops = [(a, b, "uses", 1) for i in range(400) for a, b in ((f"a{i:03}", "hub"), ("hub", f"y{i:03}"), (f"y{i:03}", f"z{i:03}"), (f"z{i:03}", f"a{i:03}"))]
+    two = [(a, b, "uses", 1) for i in range(30) for a, b in (("p", f"u{i:02}"), (f"u{i:02}", "q"), ("q", f"v{i:02}"), (f"v{i:02}", "p"))]
+    got, records = shuffled(spark, lambda: rows(analytics.cycles(graph_of(spark, *loops, *two), ["uses"])))
+    want = [("uses", [f"a{i:03}", "hub", f"y{i:03}", f"z{i:03}"], 4) for i in range(400)]
+    want += [("uses", ["p", f"u{i:02}", "q", f"v{j:02}"], 4) for i in range(30) for j in range(30)]
+    assert got == sorted(want, key=repr)
+    assert records < 100_000, records
+
+
 def test_communities_cover_all_and_repeat(spark, rows):
     clique = [(a, b, "r", 1) for s in ("abcd", "wxyz") for a in s for b in s if a < b]
     g = graph_of(spark, *clique, ("d", "w", "r", 0.1))
