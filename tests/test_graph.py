@@ -119,6 +119,16 @@ def test_cycles_of_four_through_a_hub(spark, rows):
     assert records < 100_000, records
 
 
+def test_cycles_of_three_beside_dead_ends(spark, rows):
+    # 400 cycles through a hub that as many dead ends point at, and that points at as many
+    loops = [(a, b, "uses", 1) for i in range(400) for a, b in ((f"a{i:03}", "hub"), ("hub", f"z{i:03}"), (f"z{i:03}", f"a{i:03}"), (f"b{i:03}", "hub"), ("hub", f"x{i:03}"))]
+    more = [("hub", "hub", "uses", 1), ("hub", "pair", "uses", 1), ("pair", "hub", "uses", 1), ("pair", "a000", "supports", 1)]
+    got, records = shuffled(spark, lambda: rows(analytics.cycles(graph_of(spark, *loops, *more), ["uses", "supports"], 3)))
+    want = [("uses", [f"a{i:03}", "hub", f"z{i:03}"], 3) for i in range(400)] + [("uses", ["hub"], 1), ("uses", ["hub", "pair"], 2)]
+    assert got == sorted(want, key=repr)
+    assert records < 100_000, records
+
+
 def test_communities_cover_all_and_repeat(spark, rows):
     clique = [(a, b, "r", 1) for s in ("abcd", "wxyz") for a in s for b in s if a < b]
     g = graph_of(spark, *clique, ("d", "w", "r", 0.1))
