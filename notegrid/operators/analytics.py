@@ -9,6 +9,8 @@ from notegrid.tables import cut_lineage
 
 #: The ways back between two nodes that meet the ways ahead in one task are about so many at most.
 CYCLE_BLOCK = 256
+#: Pairs of nodes that may lie on a cycle are marked in so many words of 64 bits at most.
+MARK_WORDS = 1 << 20
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -140,6 +142,24 @@ def cyclic_links(links: DataFrame) -> DataFrame:
     return links
 
 
+def cyclic_writes(log: DataFrame, relations: list[str]) -> DataFrame:
+    """The writes of the log (src, dst, type, seq and others) between all pairs of nodes
+    whose edge may lie on a cycle of one of the relations.
+
+    A cycle of stored edges is one of writes as well, so the writes with these relations
+    show which pairs may. They are marked by a bit of their hash, and the marks go to
+    where the log is read, so that it isn't shuffled. A pair's writes stay or go together;
+    pairs that share another one's mark stay.
+    """
+    links = log.where(F.col("type").isin(relations) & (F.col("src") != "") & (F.col("dst") != ""))
+    links = cut_lineage(links.select("type", "src", "dst").distinct())
+    pairs = cyclic_links(links.where(F.col("src") != F.col("dst"))).unionByName(links.where(F.col("src") == F.col("dst")))
+    mark = F.xxhash64("src", "dst")
+    word, bit = F.pmod(F.shiftrightunsigned(mark, 6), F.lit(MARK_WORDS)).alias("word"), F.pmod(mark, F.lit(64)).cast("int")
+    marks = pairs.select(word, F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return log.withColumn("word", word).join(F.broadcast(marks), "word").where(F.getbit("bits", bit) == 1).drop("word", "bits")
+
+
 def _closed(ahead: DataFrame, back: DataFrame) -> DataFrame:
     """(type, path) of every way ahead and way back with the same ends and no other
     node in common. The ways back between two nodes are cut into blocks by a hash, so

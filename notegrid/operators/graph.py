@@ -31,10 +31,14 @@ def last_writer_edges(log: DataFrame) -> DataFrame:
     return last.select("src", "dst", "last.type", "last.weight")
 
 
+def stored_log(knowledge_edges: DataFrame) -> DataFrame:
+    """(src, dst, type, weight, seq): the stored log of edge writes, which grows by id."""
+    return knowledge_edges.select(F.col("source_name").alias("src"), F.col("target_name").alias("dst"), F.col("relation").alias("type"), "weight", F.col("id").alias("seq"))
+
+
 def stored_edges(knowledge_edges: DataFrame) -> DataFrame:
-    """last_writer_edges of the stored log of edge writes; the log grows by id."""
-    log = knowledge_edges.select(F.col("source_name").alias("src"), F.col("target_name").alias("dst"), F.col("relation").alias("type"), "weight", F.col("id").alias("seq"))
-    return last_writer_edges(log)
+    """last_writer_edges of the stored log of edge writes."""
+    return last_writer_edges(stored_log(knowledge_edges))
 
 
 def live_nodes(knowledge_nodes: DataFrame) -> DataFrame:
